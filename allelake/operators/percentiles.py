@@ -1,0 +1,161 @@
+"""Percentiles per group with bounded error, in a form that partitions and days combine from.
+
+Every partition builds relative-rank sketches of its own rows (memory bounded by
+a flush); sketches, not rows, are shuffled and merged, in two steps so that no
+task gets the sketches of all partitions at once. Where a decision needs the
+exact value, :func:`exact_percentiles` counts within the bracket a sketch gives.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from allelake.operators.sketch import SECTION, RankSketch
+from allelake.session import written
+
+#: Values a partition holds in sketches before it hands them on.
+FLUSH = 4_000_000
+
+#: Sketches merged by one task in the first merging step.
+FAN_IN = 64
+
+
+def merge_sketches(blobs) -> bytes:
+    """One serialised sketch from many. Takes at least one."""
+    blobs = iter(blobs)
+    out = RankSketch.from_bytes(next(blobs))
+    for b in blobs:
+        out.merge(RankSketch.from_bytes(b))
+    return out.to_bytes()
+
+
+def sketches(df: DataFrame, group: Sequence[str], value: str, section: int = SECTION) -> DataFrame:
+    """One row per group: the group's columns, ``n`` (long, exact), ``sketch`` (binary).
+
+    Null and NaN are no values; infinities are. Groups without values have no row.
+    A null in a group column is a value of it. An empty table gives no rows.
+    """
+    group = list(group)
+    # Keys travel beside the sketches; the value column gets a name no key can have.
+    rows = df.select(*group, F.col(value).cast("double").alias("__value")).where("__value is not null and not isnan(__value)")
+    keys = [rows.schema[c] for c in group]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in keys), T.StructField("__part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() // FAN_IN
+        held: dict[tuple, RankSketch] = {}
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, part, s.n, s.to_bytes()) for k, s in held.items()], columns=[*group, "__part", "n", "sketch"])
+            held.clear()
+            return out
+
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            keyed = pdf.groupby(group, dropna=False, sort=False).indices if len(group) > 1 else pdf.groupby(group[0], dropna=False, sort=False).indices
+            values = pdf["__value"].to_numpy()
+            for at in keyed.values():
+                key = tuple(None if pd.isna(x := pdf[c].iat[at[0]]) else x for c in group)
+                if key not in held:
+                    held[key] = RankSketch(section)
+                held[key].add(values[at])
+            size += len(pdf)
+            if size > FLUSH and sum(sum(map(len, s.levels)) for s in held.values()) > FLUSH:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    parts = rows.mapInPandas(build, schema)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1].copy()
+        out["n"], out["sketch"] = pdf["n"].sum(), [merge_sketches(pdf["sketch"])]
+        return out
+
+    if rows.rdd.getNumPartitions() > FAN_IN:
+        parts = parts.groupBy(*group, "__part").applyInPandas(merge, schema)
+    final = T.StructType([f for f in schema.fields if f.name != "__part"])
+    return parts.groupBy(*group).applyInPandas(lambda pdf: merge(pdf).drop(columns="__part"), final)
+
+
+def combine(sketched: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Sketches of coarser groups (say, over all days) from those of finer ones. Same columns as :func:`sketches`."""
+    group = list(group)
+    schema = T.StructType([*(T.StructField(c, sketched.schema[c].dataType) for c in group), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1][[*group, "n", "sketch"]].copy()
+        out["n"], out["sketch"] = pdf["n"].sum(), [merge_sketches(pdf["sketch"])]
+        return out
+
+    return sketched.groupBy(*group).applyInPandas(merge, schema)
+
+
+def quantiles(sketched: DataFrame, percents: Sequence[float], deviations: float = 4.0) -> DataFrame:
+    """Rows ``pct, lower, estimate, upper`` for each sketch: bounds at so many standard deviations; equal where the sketch is exact."""
+    kept = [f for f in sketched.schema.fields if f.name != "sketch"]
+    schema = T.StructType([*kept, T.StructField("pct", T.DoubleType()), *(T.StructField(c, T.DoubleType()) for c in ("lower", "estimate", "upper"))])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*keys, float(p), *RankSketch.from_bytes(blob).quantile(p, deviations)) for *keys, blob in pdf[[*(f.name for f in kept), "sketch"]].itertuples(index=False, name=None) for p in percents]
+            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields]).astype({"n": "int64"} if "n" in pdf else {})
+
+    return sketched.mapInPandas(read, schema)
+
+
+def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, targets: DataFrame, small: int = 50_000) -> DataFrame:
+    """The exact percentile of each target: ``targets`` with ``exact`` (double).
+
+    ``targets`` has the group's columns, ``pct``, ``n`` (values of the group) and the
+    bracket ``lower``/``upper``; a bracket that turns out not to hold the
+    percentile is dropped and that target counted over all values. Only values
+    inside the bracket are sorted, as counts of equal values. Targets are
+    broadcast up to ``small`` rows and shuffled beyond.
+    """
+    group = list(group)
+    targets = written(targets.select(*group, "pct", "n", "lower", "upper").distinct(), "targets")
+    rows = df.select(*(F.col(c).alias(f"g{i}") for i, c in enumerate(group)), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    ids = [f"g{i}" for i in range(len(group))]
+
+    def count(wanted: DataFrame) -> DataFrame:
+        named = wanted.select(*(F.col(c).alias(f"t{i}") for i, c in enumerate(group)), "pct", "n", "lower", "upper")
+        on = F.col("v") <= F.col("upper")
+        for i in range(len(group)):
+            on = on & F.col(f"g{i}").eqNullSafe(F.col(f"t{i}"))
+        counted = rows.join(F.broadcast(named) if few else named, on).groupBy(*(f"t{i}" for i in range(len(group))), "pct", "n", "lower", "upper", F.when(F.col("v") >= F.col("lower"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        below = Window.partitionBy(*(f"t{i}" for i in range(len(group))), "pct").orderBy(F.col("v").asc_nulls_first())
+        ranked = counted.withColumn("upto", F.sum("c").over(below)).withColumn("need", F.ceil(F.col("pct") * F.col("n") / 100))
+        hit = ranked.where("v is not null and upto >= need and upto - c < need")
+        return hit.select(*(F.col(f"t{i}").alias(c) for i, c in enumerate(group)), "pct", F.col("v").alias("exact"))
+
+    few = targets.limit(small + 1).count() <= small
+    found = written(count(targets), "exact")
+    on = F.lit(True)
+    for c in [*group, "pct"]:
+        on = on & targets[c].eqNullSafe(found[c])
+    missed = targets.join(found, on, "left_anti")
+    if missed.limit(1).count():
+        again = missed.withColumns({"lower": F.lit(float("-inf")), "upper": F.lit(float("inf"))})
+        found = found.unionByName(written(count(again), "exact"))
+        on = F.lit(True)
+        for c in [*group, "pct"]:
+            on = on & targets[c].eqNullSafe(found[c])
+    return targets.join(found.select(*(F.col(c).alias(f"f{i}") for i, c in enumerate([*group, "pct"])), "exact"), _on(targets, [*group, "pct"])).drop(*(f"f{i}" for i in range(len(group) + 1)))
+
+
+def _on(targets: DataFrame, cols: Sequence[str]):
+    on = F.lit(True)
+    for i, c in enumerate(cols):
+        on = on & targets[c].eqNullSafe(F.col(f"f{i}"))
+    return on
