@@ -43,7 +43,7 @@ def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str, end: str,
         .withColumn("opens", F.expr("reach is null or s > reach + 1").cast("int"))
         .withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     )
-    pieces = scanned.groupBy(*ids, RANGE, "island").agg(F.min("s").alias("s"), F.max("t").alias("t"), F.min_by("reach", F.struct("s", "t")).alias("reach"))
+    pieces = scanned.groupBy(*ids, RANGE, "island").agg(F.min("s").alias("s"), F.max("t").alias("t"), F.max(F.when(F.col("opens") == 1, F.col("reach"))).alias("reach"))
     # Island 0 of a range continues the one before; the last island of a range may go on in the next.
     pieces = written(pieces, "pieces")
 

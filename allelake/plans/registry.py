@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from allelake.plans import daily, skewed, spans, wide
+from allelake.plans import daily, files, skewed, spans, wide
 
-MODULES = (skewed, wide, spans, daily)
+MODULES = (files, skewed, wide, spans, daily)
 
 
 def queries() -> dict:
