@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from allelake.plans import daily, files, headers, skewed, spans, wide
+from allelake.plans import daily, files, headers, skewed, spans, variants, wide
 
-MODULES = (files, skewed, headers, wide, spans, daily)
+MODULES = (variants, files, skewed, headers, wide, spans, daily)
 
 
 def queries() -> dict:
