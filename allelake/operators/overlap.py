@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Region tables of at most this many rows are broadcast and joined by contig and range.
 SMALL = 10_000
@@ -54,30 +55,43 @@ def _meet() -> Column:
 def overlap_join_binned(records: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
     """:func:`overlap_join` as an equi-join on (contig, bin), for region tables of any size.
 
-    Both sides are copied to the bins they touch; a pair counts in the first
-    bin both touch, so it comes once. Each power of ``WIDE`` has its own level of
-    wider bins and an interval is put on the level where it touches at most
-    ``WIDE`` of them, so a contig-long interval makes no million copies.
+    Intervals are copied to the bins they touch; a pair counts in the first bin
+    both touch, so it comes once. Longer intervals have levels of ``WIDE`` times
+    wider bins, so a contig-long one makes no million copies. A pair meets on
+    the level of its longer interval: there that interval stands itself, and
+    copies of the shorter ones of the other side, if that level is in use at all.
     """
-    def level(lo: Column, hi: Column) -> Column:
-        size = hi.cast("long") - lo + 1
+    long_ = T.LongType()
+
+    def level(lo: str, hi: str) -> Column:
+        size = F.col(hi).cast(long_) - F.col(lo) + 1
         return F.when(size <= width * WIDE, 0).when(size <= width * WIDE**2, 1).when(size <= width * WIDE**3, 2).otherwise(3)
 
-    def bins(lo: str, hi: str, lev: Column) -> Column:
-        step = F.lit(width).cast("long") * F.pow(F.lit(WIDE), lev).cast("long")
-        return F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))
-
-    levels = F.array(*(F.lit(i) for i in range(4)))
-    r = _named(regions).withColumn("__rl", level(F.col("region_lo"), F.col("region_hi")))
-    left = records.where("end_pos >= pos").withColumn("__vl", level(F.col("pos"), F.col("end_pos")))
-    # A pair meets on the level of its longer interval, so each interval goes to its own level and all above.
-    left = left.withColumn("__level", F.explode(F.filter(levels, lambda i: i >= F.col("__vl")))).withColumn("__bin", F.explode(bins("pos", "end_pos", F.col("__level"))))
-    r = r.withColumn("__level", F.explode(F.filter(levels, lambda i: i >= F.col("__rl")))).withColumn("__bin", F.explode(bins("region_lo", "region_hi", F.col("__level"))))
-    r = r.select(*(c for c in r.columns if c not in ("__level", "__bin")), F.col("__level").alias("__rlevel"), F.col("__bin").alias("__rbin"))
-    step = F.lit(width).cast("long") * F.pow(F.lit(WIDE), F.col("__level")).cast("long")
-    once = (F.col("__level") == F.greatest("__vl", "__rl")) & (F.col("__bin") == F.floor(F.greatest("pos", "region_lo") / step))
-    joined = left.join(r, (left["contig"] == r["__contig"]) & (F.col("__level") == F.col("__rlevel")) & (F.col("__bin") == F.col("__rbin")) & _meet() & once)
-    return joined.drop("__contig", "__vl", "__rl", "__level", "__bin", "__rlevel", "__rbin")
+    def step(lev: Column) -> Column:
+        return F.element_at(F.array(*(F.lit(width * WIDE**i).cast(long_) for i in range(4))), lev + 1)
+
+    def binned(df: DataFrame, lo: str, hi: str, lev: str, bin_: str) -> DataFrame:
+        return df.withColumn(bin_, F.explode(F.sequence(F.floor(F.col(lo) / step(F.col(lev))), F.floor(F.col(hi) / step(F.col(lev))))))
+
+    def copied(df: DataFrame, own: str, to: list[int], above: bool, lev: str) -> DataFrame:
+        return df.withColumn(lev, F.explode(F.filter(F.array(*(F.lit(i) for i in to)), lambda i: (i > F.col(own)) if above else (i >= F.col(own)))))
+
+    r = _named(regions).withColumn("__rl", level("region_lo", "region_hi"))
+    v = records.where("end_pos >= pos").withColumn("__vl", level("pos", "end_pos"))
+    at = {name: sorted(x[0] for x in df.select(own).distinct().collect()) for name, df, own in (("v", v, "__vl"), ("r", r, "__rl"))}  # four levels at most
+    first = F.col("__bin") == F.floor(F.greatest("pos", "region_lo") / step(F.col("__level")))
+    out = None
+    for left, right in (
+        (v.withColumn("__level", F.col("__vl")), copied(r, "__rl", at["v"], False, "__rlevel")),
+        (copied(v, "__vl", at["r"], True, "__level"), r.withColumn("__rlevel", F.col("__rl"))),
+    ):
+        if out is not None and max(at["r"], default=0) <= min(at["v"], default=0):
+            break  # no region is on a higher level than any record
+        left, right = binned(left, "pos", "end_pos", "__level", "__bin"), binned(right, "region_lo", "region_hi", "__rlevel", "__rbin")
+        on = (left["contig"] == right["__contig"]) & (F.col("__level") == F.col("__rlevel")) & (F.col("__bin") == F.col("__rbin"))
+        part = left.join(right, on & _meet() & first).drop("__contig", "__vl", "__rl", "__level", "__bin", "__rlevel", "__rbin")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def stab_sums(points: DataFrame, blocks: DataFrame, values: list[str], width: int = BIN) -> DataFrame:

@@ -3,6 +3,7 @@
 import importlib
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -30,6 +31,7 @@ def main() -> None:
             began = time.time()
             found[name](spark, folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - began, 3)
+            print(name, times[name], file=sys.stderr, flush=True)
     sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
 
