@@ -57,8 +57,24 @@ def is_transition(ref: Column, alt: Column) -> Column:
 
 def is_snp(ref: Column, alt: Column) -> Column:
     """One base for another base."""
-    base = "^[ACGTacgt]$"
-    return ref.rlike(base) & alt.rlike(base) & (F.upper(ref) != F.upper(alt))
+    base = lambda c: (F.length(c) == 1) & F.upper(c).isin("A", "C", "G", "T")
+    return base(ref) & base(alt) & (F.upper(ref) != F.upper(alt))
+
+
+#: Kinds of alternate alleles, as :func:`allele_kind` numbers them.
+OTHER, TRANSITION, TRANSVERSION, INSERTION, DELETION, STAR = range(6)
+
+
+def allele_kind(ref: Column, alt: Column) -> Column:
+    """What an alternate allele is against the reference; symbolic ones and those of equal length other than single bases are ``OTHER``."""
+    return (
+        F.when(is_snp(ref, alt), F.when(is_transition(ref, alt), TRANSITION).otherwise(TRANSVERSION))
+        .when(alt == "*", STAR)
+        .when(alt.startswith("<"), OTHER)
+        .when(F.length(alt) > F.length(ref), INSERTION)
+        .when(F.length(alt) < F.length(ref), DELETION)
+        .otherwise(OTHER)
+    )
 
 
 def filter_text(filters: Column) -> Column:

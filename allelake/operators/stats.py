@@ -87,12 +87,6 @@ def max_variant_length(records: DataFrame) -> DataFrame:
     return records.where("end_pos >= pos").groupBy("contig").agg(F.max(F.col("end_pos") - F.col("pos") + 1).alias("max_length"))
 
 
-def _sum_over_calls(of) -> Column:
-    """Sum of ``of(ref, alt)`` (a condition) over the called alternate alleles of a record, each copy once."""
-    ref = F.element_at("alleles", 1)
-    return F.aggregate(F.filter("gt", lambda g: g > 0), F.lit(0), lambda n, g: n + F.coalesce(of(ref, F.get("alleles", g)).cast("int"), F.lit(0)))
-
-
 def sample_stats(records: DataFrame) -> DataFrame:
     """One row per sample with the 23 counters of :data:`COUNTERS`, partials that sum, min and max combine.
 
@@ -103,22 +97,24 @@ def sample_stats(records: DataFrame) -> DataFrame:
     gt = F.col("gt")
     valid, called = A.valid_gt(gt, F.col("alleles")), A.has_call(gt)
     use = valid & called
-    longer = lambda r, a: (~a.startswith("<")) & (a != "*") & (F.length(a) > F.length(r))
-    shorter = lambda r, a: (~a.startswith("<")) & (a != "*") & (F.length(a) < F.length(r))
-    ones = F.size(F.filter(F.array_distinct(F.filter("gt", lambda g: g > 0)), lambda g: F.size(F.filter("gt", lambda h: h == g)) == 1))
+    # Each called copy is classified once; the counters below only compare small numbers.
+    kinds = F.transform(F.filter("gt", lambda g: g > 0), lambda g: A.allele_kind(F.element_at("alleles", 1), F.get("alleles", g)))
+    records = records.select("sample", "dp", "gq", "gt", "alleles", F.when(use, kinds).alias("__kinds"), F.when(use, F.filter("gt", lambda g: g > 0)).alias("__alts"))
+    of = lambda *which: F.size(F.filter("__kinds", lambda k: k.isin(*which)))
+    ones = F.size(F.filter("__alts", lambda g: F.size(F.array_remove(F.col("__alts"), g)) == F.size("__alts") - 1))
     flags = {
         "n_records": F.lit(1),
         "n_called": F.when(use, 1),
         "n_not_called": F.when(~called, 1),
         "n_hom_ref": F.when(use & F.forall("gt", lambda g: g == 0), 1),
         "n_het": F.when(use & F.forall("gt", lambda g: g >= 0) & F.exists("gt", lambda g: g != F.element_at("gt", 1)), 1),
-        "n_singleton": F.when(use, ones),
-        "n_snp": F.when(use, _sum_over_calls(A.is_snp)),
-        "n_transition": F.when(use, _sum_over_calls(lambda r, a: A.is_snp(r, a) & A.is_transition(r, a))),
-        "n_transversion": F.when(use, _sum_over_calls(lambda r, a: A.is_snp(r, a) & ~A.is_transition(r, a))),
-        "n_insertion": F.when(use, _sum_over_calls(longer)),
-        "n_deletion": F.when(use, _sum_over_calls(shorter)),
-        "n_star": F.when(use, _sum_over_calls(lambda r, a: a == "*")),
+        "n_singleton": ones,
+        "n_snp": of(A.TRANSITION, A.TRANSVERSION),
+        "n_transition": of(A.TRANSITION),
+        "n_transversion": of(A.TRANSVERSION),
+        "n_insertion": of(A.INSERTION),
+        "n_deletion": of(A.DELETION),
+        "n_star": of(A.STAR),
         "n_multiallelic": F.when(F.size("alleles") > 2, 1),
     }
     wide = records.select("sample", *(F.col(c).cast("long").alias(c) for c in ("dp", "gq")), *(f.cast("long").alias(n) for n, f in flags.items()))

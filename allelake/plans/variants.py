@@ -22,7 +22,11 @@ SAMPLES = ("NXCTRL01", "QC-mix.b", "ZR0450")
 
 
 def _number(key: str):
-    return F.regexp_extract("fmt", f"(^|;){key}=([0-9]{{1,9}})(;|$)", 2).try_cast("int")
+    """The whole number a key of ``fmt`` has; null if it has none. Found by position, which is much faster than by pattern."""
+    text = F.concat(F.lit(";"), F.col("fmt"), F.lit(";"))
+    at = F.instr(text, f";{key}=")
+    value = F.substring_index(F.substring(text, at + len(key) + 2, F.lit(12)), ";", 1)
+    return F.when((at > 0) & value.rlike("^[0-9]{1,9}$"), value).try_cast("int")
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
