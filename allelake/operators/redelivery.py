@@ -35,24 +35,25 @@ def contained_files(rows: DataFrame, file: str, record: Sequence[str]) -> DataFr
     once; nulls in record columns equal each other; an empty table gives no rows.
     """
     records = written(file_records(rows, file, record), "records")
-    sets = records.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(h1, h2))").alias("s1"), F.expr("bit_xor(xxhash64(h2, h1, 7))").alias("s2"))
-    sets = written(sets, "sets")
-    classes = written(sets.groupBy("n", "s1", "s2").agg(F.min("file").alias("rep")), "classes")
-    reps = records.join(classes.select(F.col("rep").alias("file"), "n"), "file")
-    often = reps.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("df"))
-    rarest = reps.join(often, ["h1", "h2"]).groupBy("file", "n").agg(F.min(F.struct("df", "h1", "h2")).alias("r")).where("r.df > 1")
-    rarest = rarest.select(F.col("file").alias("inner"), F.col("n").alias("n_inner"), "r.h1", "r.h2")
-    # Classes differ, so an outer class has more records.
-    candidates = rarest.join(reps.withColumnRenamed("file", "outer"), ["h1", "h2"]).where("n > n_inner").select("inner", "outer", "n_inner")
-    of_inner = records.select(F.col("file").alias("inner"), "h1", "h2")
-    of_outer = records.select(F.col("file").alias("outer"), "h1", "h2")
-    proper = candidates.join(of_inner, "inner").join(of_outer, ["outer", "h1", "h2"]).groupBy("inner", "outer", "n_inner").agg(F.count(F.lit(1)).alias("both")).where("both = n_inner").select("inner", "outer")
-    members = sets.join(classes, ["n", "s1", "s2"]).select("file", "rep")
+    often = records.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Only records that several files hold go on, and of files only those that hold no other record.
+    held = written(records.join(often, ["h1", "h2"]), "held")
+    sizes = records.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    sets = held.groupBy("file").agg(F.count(F.lit(1)).alias("shared"), F.expr("bit_xor(xxhash64(h1, h2))").alias("s1"), F.expr("bit_xor(xxhash64(h2, h1, 7))").alias("s2"), F.min(F.struct("df", "h1", "h2")).alias("rarest"))
+    sets = written(sets.join(sizes, "file").where("shared = n").select("file", "n", "s1", "s2", "rarest"), "sets")
+    classes = sets.groupBy("n", "s1", "s2").agg(F.min("file").alias("rep"))
+    members = written(sets.join(classes, ["n", "s1", "s2"]).select("file", "rep", "n", "rarest"), "members")
+    inner = members.where("file = rep").select(F.col("file").alias("inner"), F.col("n").alias("n_inner"), "rarest.h1", "rarest.h2")
+    # Copies stand back for their class; the other files stand for themselves.
+    outer = held.join(members.where("file <> rep").select("file"), "file", "left_anti").select(F.col("file").alias("outer"), "h1", "h2")
+    candidates = inner.join(outer, ["h1", "h2"]).where("inner <> outer").select("inner", "outer", "n_inner")
+    of_inner = held.select(F.col("file").alias("inner"), "h1", "h2")
+    proper = candidates.join(of_inner, "inner").join(outer, ["outer", "h1", "h2"]).groupBy("inner", "outer", "n_inner").agg(F.count(F.lit(1)).alias("both")).where("both = n_inner").select("inner", "outer")
     equal = members.select(F.col("file").alias("inner"), "rep").join(members.select(F.col("file").alias("outer"), "rep"), "rep").where("inner <> outer").select("inner", "outer")
     expanded = (
         proper.join(members.select(F.col("file").alias("i"), F.col("rep").alias("inner")), "inner")
-        .join(members.select(F.col("file").alias("o"), F.col("rep").alias("outer")), "outer")
-        .select(F.col("i").alias("inner"), F.col("o").alias("outer"))
+        .join(members.select(F.col("file").alias("o"), F.col("rep").alias("outer")), "outer", "left")
+        .select(F.col("i").alias("inner"), F.coalesce("o", "outer").alias("outer"))
     )
     return equal.unionByName(expanded)
 
