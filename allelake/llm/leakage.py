@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from allelake.llm import words as W
 
 #: Words of a window, steps of a walk, walks, keys a walk, sampled steps a key.
-WINDOW, WALKS, KEYS, SAMPLED = 8, 2, 4, 11
+WINDOW, WALKS, KEYS, SAMPLED = 8, 4, 6, 11
 STEPS = 3 * WINDOW
 
 #: Meetings with an item at one place that make a candidate. A run of RUN equal words has RUN - WINDOW + 1 = 5 or more.

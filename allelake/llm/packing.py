@@ -79,7 +79,7 @@ def pack(items: DataFrame, size: str, capacity: int, open_: int = OPEN) -> DataF
         raise ValueError("columns container_id and __open are made here")
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([*items.schema.fields, T.StructField("container_id", T.LongType()), T.StructField("__open", T.LongType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in items.schema.fields), T.StructField("container_id", T.LongType()), T.StructField("__open", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
