@@ -3,7 +3,7 @@ import glob
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from conftest import rows
+from common import rows
 
 from allelake.operators.consolidate import consolidate, consolidated, listed_files
 from allelake.operators.redelivery import contained_files, once, redelivered

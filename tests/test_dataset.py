@@ -4,7 +4,7 @@ import glob
 import os
 
 import pytest
-from conftest import rows
+from common import rows
 
 from allelake.cli import main
 from allelake.dataset import Dataset, ReadConfig

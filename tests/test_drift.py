@@ -2,7 +2,7 @@ import datetime as dt
 import itertools
 import random
 
-from conftest import rows
+from common import rows
 from pyspark.sql import types as T
 
 from allelake.operators import drift

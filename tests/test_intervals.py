@@ -1,6 +1,6 @@
 import random
 
-from conftest import rows
+from common import rows
 
 from allelake.operators import intervals, ranges
 from allelake.operators.intervals import periods_and_gaps

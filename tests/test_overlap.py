@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from common import rows
 
 from allelake.operators.overlap import overlap_join, overlap_join_binned, stab_sums
 from allelake.regions import Region, coalesce, coalesced_table, region_table

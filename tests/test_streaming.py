@@ -2,7 +2,7 @@ import os
 import shutil
 
 import pytest
-from conftest import rows
+from common import rows
 from pyspark.sql import functions as F
 
 from allelake.dataset import Dataset

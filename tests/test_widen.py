@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from common import rows
 from pyspark.sql import functions as F
 
 from allelake.functions.decimals import is_decimal, is_whole, one_spelling
