@@ -323,14 +323,15 @@ def _script(old: tuple, new: tuple) -> tuple[tuple[str, str, str, str], ...]:
     return tuple(rows)
 
 
-def header_changes(listing: DataFrame, headers: DataFrame, file: str = "uri_id", group: str = "centre", order: Sequence[str] = ("written_at", "uri_id")) -> DataFrame:
+def header_changes(listing: DataFrame, headers: DataFrame, file: str = "uri_id", group: str = "centre", order: Sequence[str] = ("written_at", "uri_id"), parsed: DataFrame | None = None) -> DataFrame:
     """Every change of a file's declarations against the file before it in its group.
 
     Columns ``file, blob_name, field_name, old_name, change_kind``. Scripts are
     made once per pair of different schemas, not per file. Files without a
-    header, a group or a time aren't compared.
+    header, a group or a time aren't compared. ``parsed``: the headers as
+    :func:`parsed_headers` gives them, where the caller has them already.
     """
-    parsed = written(parsed_headers(headers, file, "header"), "headers")
+    parsed = parsed or written(parsed_headers(headers, file, "header"), "headers")
     schemas = parsed.groupBy("sig").agg(F.first("decls").alias("decls"))
     cols = list(dict.fromkeys([file, group, *order]))
     files = listing.select(*cols).where(F.col(group).isNotNull() & F.col(order[0]).isNotNull() & F.col(file).isNotNull())
@@ -360,7 +361,7 @@ def _names_in(blob: str):
     return F.transform(F.filter("decls", lambda d: d["blob"] == blob), lambda d: d["name"])
 
 
-def undeclared_keys(rows: DataFrame, headers: DataFrame, file: str = "uri_id", blobs: Sequence[str] = ("info", "fmt")) -> DataFrame:
+def undeclared_keys(rows: DataFrame, headers: DataFrame, file: str = "uri_id", blobs: Sequence[str] = ("info", "fmt"), parsed: DataFrame | None = None) -> DataFrame:
     """``file, blob_name, field_name``: keys in a file's rows that its own header doesn't declare in that blob.
 
     Distinct keys are formed before the shuffle, so a file with a third of all
@@ -369,7 +370,7 @@ def undeclared_keys(rows: DataFrame, headers: DataFrame, file: str = "uri_id", b
     found = rows.where(F.col(file).isNotNull()).select(F.col(file).alias("file"), F.inline(F.array(*(F.struct(F.lit(b).alias("blob_name"), keys_of(F.col(b)).alias("ks")) for b in blobs))))
     found = found.where("size(ks) > 0").select("file", "blob_name", F.explode("ks").alias("field_name")).distinct()
     used = found.groupBy("file", "blob_name").agg(F.collect_list("field_name").alias("ks"))
-    parsed = parsed_headers(headers, file, "header")
+    parsed = parsed or parsed_headers(headers, file, "header")
     declared = parsed.select("file", F.inline(F.array(*(F.struct(F.lit(b).alias("blob_name"), _names_in(b).alias("ds")) for b in blobs))))
     open_ = used.join(declared, ["file", "blob_name"], "left").select("file", "blob_name", F.array_except("ks", F.coalesce("ds", F.array().cast("array<string>"))).alias("ks"))
     return open_.select("file", "blob_name", F.explode("ks").alias("field_name"))

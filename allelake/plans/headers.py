@@ -3,15 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelake.operators.drift import consistent, header_changes, undeclared_keys
-from allelake.session import table
+from allelake.operators.drift import consistent, header_changes, parsed_headers, undeclared_keys
+from allelake.session import table, written
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each change of a header against the one before it of its centre, and the keys used without a declaration."""
     headers = table(spark, folder, "vcf_headers")
-    changes = header_changes(table(spark, folder, "sample_uris"), headers)
-    loose = undeclared_keys(table(spark, folder, "data_array"), headers)
+    parsed = written(parsed_headers(headers, "uri_id", "header"), "headers")
+    changes = header_changes(table(spark, folder, "sample_uris"), headers, parsed=parsed)
+    loose = undeclared_keys(table(spark, folder, "data_array"), headers, parsed=parsed)
     loose = loose.select("file", "blob_name", "field_name", F.lit("").alias("old_name"), F.lit("undeclared").alias("change_kind"))
     return changes.unionByName(loose).withColumnRenamed("file", "uri_id")
 
