@@ -29,6 +29,7 @@ from allelake.regions import Region, coalesce, region_table
 from allelake.session import written
 from allelake.sinks import text as sinks
 from allelake.sources import listing
+from allelake.sources.bcf import bcf_headers, read_bcf
 from allelake.sources.vcf import Field, header_fields, read_headers, read_vcf
 
 log = logging.getLogger("allelake")
@@ -111,8 +112,16 @@ class Dataset:
         p, _ = self._path("meta.json")
         return json.loads("\n".join(r[0] for r in self.spark.read.text(p.toString()).collect()))
 
+    def _schema(self, name: str) -> str:
+        own = [f"{a} string" for a in self._own_columns()] if name == "records" else []
+        return ", ".join([TABLES[name], *own])
+
+    def _own_columns(self) -> list[str]:
+        """INFO and FORMAT fields kept as columns besides the maps, so a read of one doesn't read all; the genotype always is."""
+        return [a for a in self.meta["extra_attrs"] if a != "fmt_GT"]
+
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.uri}/{name}")
+        return self.spark.read.schema(self._schema(name)).parquet(f"{self.uri}/{name}")
 
     def _need(self, mode: str) -> None:
         if self.mode != mode:
@@ -140,13 +149,13 @@ class Dataset:
             "version": 4, "extra_attrs": sorted({"fmt_GT", *extra_attrs}), "allow_duplicates": allow_duplicates, "compression": compression, "variant_stats_version": variant_stats_version,
             "enable": {"allele_count": enable_allele_count, "variant_stats": enable_variant_stats, "sample_stats": enable_sample_stats},
         }
-        for name, schema in TABLES.items():
-            writer = self.spark.createDataFrame([], schema).write
-            (writer.partitionBy("contig") if name == "records" else writer).parquet(f"{self.uri}/{name}")
         p, fs = self._path("meta.json")
         out = fs.create(p, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
+        for name in TABLES:
+            writer = self.spark.createDataFrame([], self._schema(name)).write
+            (writer.partitionBy("contig") if name == "records" else writer).parquet(f"{self.uri}/{name}")
 
     def ingest_samples(self, sample_uris: Sequence[str] | str, resume: bool = False, contig_mode: str = "all", contigs_to_keep_separate: Sequence[str] = ()) -> int:
         """Append single-sample files (a list of paths, or a file with a path per line) and return the number of new records.
@@ -160,14 +169,19 @@ class Dataset:
         uris = [r["uri"] for r in listing.read_sample_uris(self.spark, sample_uris).collect()] if isinstance(sample_uris, str) else list(sample_uris)
         if not uris:
             return 0
-        records = read_vcf(self.spark, uris).drop("file")
+        binary = [u for u in uris if u.endswith(".bcf")]
+        plain = [u for u in uris if not u.endswith(".bcf")]
+        parts = ([read_vcf(self.spark, plain)] if plain else []) + ([read_bcf(self.spark, binary)] if binary else [])
+        records = parts[0].unionByName(parts[1]).drop("file") if len(parts) > 1 else parts[0].drop("file")
+        tops = ([read_headers(self.spark, plain)] if plain else []) + ([bcf_headers(self.spark, binary)] if binary else [])
+        headers = tops[0].unionByName(tops[1]) if len(tops) > 1 else tops[0]
         if contig_mode != "all":
             own = F.col("contig").isin(list(contigs_to_keep_separate))
             records = records.where(own if contig_mode == "separate" else ~own)
         if resume:
             there = self._table("records").select("sample", "contig").distinct()
             records = records.join(there, ["sample", "contig"], "left_anti")
-        return self.append(records, read_headers(self.spark, uris).drop("file"))
+        return self.append(records, headers.drop("file"))
 
     def append(self, records: DataFrame, headers: DataFrame) -> int:
         """Append parsed records and headers with their aggregates; checks the number of records written."""
@@ -175,7 +189,8 @@ class Dataset:
         stamp = F.lit(int(time.time() * 1000)).cast("long")
         at = F.timestamp_millis(stamp)
         # Parsed once; aggregates, records and the check all read the staged table.
-        records = written(records.withColumn("ingest_ts", at).select(*[f.strip().split(" ")[0] for f in RECORDS.split(", ")]), "ingest")
+        own = [F.element_at(a.split("_", 1)[0], a.split("_", 1)[1]).alias(a) for a in self._own_columns()]
+        records = written(records.withColumn("ingest_ts", at).select(*[f.strip().split(" ")[0] for f in RECORDS.split(", ")], *own), "ingest")
         if not meta["allow_duplicates"]:
             twice = records.groupBy("contig", "pos", "sample").count().where("count > 1").limit(1).collect()
             if twice:
@@ -296,9 +311,9 @@ class Dataset:
             raise ValueError("Argument 'samples' and 'samples_file' are mutually exclusive")
         attrs = list(dict.fromkeys(attrs))
         found = self._select(samples, samples_file, regions, bed_file, bed_table, skip_check_samples)
-        iaf = [a for a in attrs if a in ("info_TILEDB_IAF", "info_TILEDB_IAC", "info_TILEDB_IAN")]
+        iaf = [a for a in attrs if a in ("info_IAF", "info_IAC", "info_IAN")]
         if iaf or set_af_filter:
-            attrs = list(dict.fromkeys([*attrs, "alleles", "fmt_GT", "info_TILEDB_IAF", "info_TILEDB_IAC", "info_TILEDB_IAN"]))
+            attrs = list(dict.fromkeys([*attrs, "alleles", "fmt_GT", "info_IAF", "info_IAC", "info_IAN"]))
             n = self.sample_count() if scan_all_samples else None
             found = frequency.af_filter(found, self._table("variant_stats"), set_af_filter or ">=0", n, self.meta["variant_stats_version"])
         if self.cfg.limit is not None:
@@ -314,14 +329,14 @@ class Dataset:
             "fmt_GT": F.col("gt"),
         }
         if "iaf" in has:
-            fixed |= {"info_TILEDB_IAF": F.col("iaf"), "info_TILEDB_IAC": F.col("iac"), "info_TILEDB_IAN": F.col("ian")}
-        known = {f.column: f for f in self.fields()}
+            fixed |= {"info_IAF": F.col("iaf"), "info_IAC": F.col("iac"), "info_IAN": F.col("ian")}
+        known, own = {f.column: f for f in self.fields()}, set(self._own_columns())
         out = []
         for a in attrs:
             if a in fixed:
                 out.append(fixed[a].alias(a))
             elif a in known:
-                out.append(known[a].value().alias(a))
+                out.append(known[a].value(a in own).alias(a))
             else:
                 raise ValueError(f"no attribute {a!r}")
         return out

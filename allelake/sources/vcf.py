@@ -18,7 +18,7 @@ from allelake.functions import alleles as A
 from allelake.operators.drift import declarations
 
 #: INFO and FORMAT fields that hold one number although others are lists.
-SCALARS = ("fmt_DP", "fmt_GQ", "fmt_PS", "fmt_PQ", "fmt_MQ", "fmt_MIN_DP", "info_TILEDB_IAN")
+SCALARS = ("fmt_DP", "fmt_GQ", "fmt_PS", "fmt_PQ", "fmt_MQ", "fmt_MIN_DP", "info_IAN")
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,13 @@ class Field:
     def column(self) -> str:
         return f"{self.blob}_{self.name}"
 
-    def value(self) -> Column:
-        """The typed value from the blob's map: flags 0 or 1, numbers as lists (some as scalars), text as it is; null where absent."""
-        text = F.element_at(self.blob, self.name)
+    def raw(self) -> Column:
+        """The text in the blob's map."""
+        return F.element_at(self.blob, self.name)
+
+    def value(self, own_column: bool = False) -> Column:
+        """The typed value from the blob's map or, with ``own_column``, from the column kept for it: flags 0 or 1, numbers as lists (some as scalars), text as it is; null where absent."""
+        text = F.col(self.column) if own_column else self.raw()
         if self.kind == "Flag":
             return F.when(text.isNotNull(), 1).otherwise(0)
         if self.column == "fmt_GT":
