@@ -146,6 +146,7 @@ class Items:
                 if not len(known):
                     continue
                 near = np.flatnonzero(bitmap.take((keys >> np.uint64(44)).view(np.int64)))
+                near = near[seq[near + lo] != 0]  # a window that starts between texts may meet what the next text has
                 left = np.searchsorted(known, keys[near], "left")
                 count = np.searchsorted(known, keys[near], "right") - left
                 met = count > 0

@@ -85,6 +85,15 @@ def test_table(spark):
     assert L.leaked(d.limit(0), t).count() == 0 and L.leaked(d, t.limit(0)).count() == 0
 
 
+def test_the_text_before_a_leak_is_not_blamed():
+    rng = np.random.default_rng(11)
+    items = [text(rng, 60) for _ in range(80)]
+    docs = [" ".join(t) for w in items for t in (text(rng, 30), w)]
+    ready = L.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], W.Lookup(np.empty(0, np.uint64)))
+    seq, starts = W.joined(docs, L._GAP)
+    assert ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts) == {(2 * i + 1, i) for i in range(80)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 2)
     rng = np.random.default_rng(4)
