@@ -26,7 +26,7 @@ from allelake.operators import frequency, select, stats
 from allelake.operators.cohort import merge_cohort
 from allelake.operators.overlap import overlap_join
 from allelake.regions import Region, coalesce, region_table
-from allelake.session import written
+from allelake.session import ship, written
 from allelake.sinks import text as sinks
 from allelake.sources import listing
 from allelake.sources.bcf import bcf_headers, read_bcf
@@ -82,6 +82,7 @@ class Dataset:
     def __init__(self, spark: SparkSession, uri: str, mode: str = "r", cfg: ReadConfig | None = None) -> None:
         if mode not in ("r", "w"):
             raise ValueError(f"Unsupported dataset mode {mode}")
+        ship(spark)
         self.spark, self.uri, self.mode, self.cfg = spark, uri.rstrip("/"), mode, cfg or ReadConfig()
         self._pages: Iterator | None = None
         if mode == "r" and not self._exists():

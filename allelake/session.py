@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,23 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per context; without it they'd need it on their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_allelake_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="allelake-"), "allelake.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)
+    sc._allelake_shipped = True
+
+
 def task_count(spark: SparkSession) -> int:
     """Number of reduce tasks the session is set to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
