@@ -12,19 +12,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from allelake.session import written
 
 
-def record_key(cols: Sequence[str]) -> tuple[Column, Column]:
-    """128 bits that stand for a record; null differs from every value."""
-    parts = [F.struct(F.col(c).isNull(), F.col(c)) for c in cols]
+def record_key(rows: DataFrame, cols: Sequence[str]) -> tuple[Column, Column]:
+    """128 bits that stand for a record; null differs from every value, in arrays too, where plain hashing would pass it over."""
+    parts = []
+    for c in cols:
+        if isinstance(rows.schema[c].dataType, ArrayType):
+            parts += [F.size(c), F.array_join(c, "\x01", "\x00")]
+        else:
+            parts.append(F.struct(F.col(c).isNull(), F.col(c)))
     return F.xxhash64(*parts), F.xxhash64(F.lit("allelake"), *reversed(parts))
 
 
 def file_records(rows: DataFrame, file: str, record: Sequence[str]) -> DataFrame:
     """Distinct ``file, h1, h2``. Rows without a file are left out."""
-    h1, h2 = record_key(record)
+    h1, h2 = record_key(rows, record)
     return rows.where(F.col(file).isNotNull()).select(F.col(file).alias("file"), h1.alias("h1"), h2.alias("h2")).distinct()
 
 
@@ -78,6 +84,6 @@ def once(rows: DataFrame, record: Sequence[str], order: str) -> DataFrame:
     Ids of kept rows are found on hashes alone and joined back, so wide rows
     aren't shuffled for the search. Rows with a null ``order`` are left out.
     """
-    h1, h2 = record_key(record)
+    h1, h2 = record_key(rows, record)
     keep = rows.where(F.col(order).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.col(order).alias("__keep")).groupBy("h1", "h2").agg(F.min("__keep").alias("__keep"))
     return rows.join(keep.select("__keep"), F.col(order) == F.col("__keep"), "left_semi")

@@ -6,16 +6,20 @@ half overlapping), large ones from ``ref_blocks``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allelake.functions import alleles as A
 from allelake.operators import association, frequency, select, stats
+from allelake.operators.cohort import merge_cohort
 from allelake.operators.overlap import overlap_join, overlap_join_binned, stab_sums
 from allelake.regions import coalesced_table
-from allelake.session import table
+from allelake.session import scratch_path, table
 from allelake.sinks.text import tsv_columns
-from allelake.sources.vcf import parse_map
+from allelake.sources.vcf import Field, parse_map
+from allelake.streaming.ingest import windowed_records
 
 #: A sample that holds many records, used by the queries on single samples.
 SAMPLES = ("NXCTRL01", "QC-mix.b", "ZR0450")
@@ -447,3 +451,23 @@ def header_digest(spark: SparkSession, folder: str) -> DataFrame:
 def count_cube(spark: SparkSession, folder: str) -> DataFrame:
     """Counts by contig and sample with all subtotals."""
     return table(spark, folder, "data_array").cube("contig", "sample").agg(F.count(F.lit(1)).alias("n"), F.grouping("contig").cast("long").alias("no_contig"), F.grouping("sample").cast("long").alias("no_sample"))
+
+
+@query()
+def cohort_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Cohort records: the k-th records of all samples at a position as one, alleles and genotypes brought together."""
+    r = records(spark, folder).withColumns({"info": parse_map(F.col("info")), "fmt": parse_map(F.col("fmt"))})
+    gt = F.array_join(F.transform("gt", lambda g: F.when(g < 0, ".").otherwise(g.cast("string"))), "/")
+    r = r.withColumn("fmt", F.when(F.col("gt").isNotNull(), F.map_concat(F.map_filter("fmt", lambda k, _: k != "GT"), F.create_map(F.lit("GT"), gt))).otherwise(F.col("fmt")))
+    fields = [Field("info", "MLEAC", "Integer", "A"), Field("info", "MLEAF", "Float", "A"), Field("fmt", "AD", "Integer", "R")]
+    return merge_cohort(r, fields).select("contig", "pos", "nth", "id", "alleles", F.map_keys("calls").alias("samples"), F.element_at("info", "AC").alias("ac"), F.element_at("info", "AN").alias("an"))
+
+
+@query("""select cast(date_trunc('day', ingest_ts) as date) as day, contig, count(*) as n_records from data_array group by 1, 2""")
+def stream_daily_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records per contig and day, kept by a stream over the table's files."""
+    source = spark.readStream.schema(table(spark, folder, "data_array").schema).parquet(f"{folder}/data_array.parquet*")
+    name = f"allelake_{uuid.uuid4().hex}"
+    # The sink holds a row per contig and day.
+    windowed_records(source, late="3650 days").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("date").alias("day"), "contig", "n_records")

@@ -84,3 +84,10 @@ def test_once(spark):
     _, df = deliveries(spark)
     got = once(df, RECORD, "row_id").collect()
     assert len({(r["c"], r["p"], *r["a"]) for r in got}) == len(got) == df.select(*RECORD).distinct().count()
+
+
+def test_nulls_within_arrays_make_other_records(spark):
+    data = [(1, 1, "c", 1, ["a", None]), (2, 2, "c", 1, [None, "a"]), (3, 3, "c", 1, ["a"]), (4, 4, "c", 1, None), (5, 5, None, 1, ["a"]), (6, 6, "", 1, ["a"]), (7, 7, "c", 1, ["a", None])]
+    df = spark.createDataFrame(data, "row_id long, f long, c string, p int, a array<string>")
+    assert rows(once(df, RECORD, "row_id"), "row_id") == [(i,) for i in range(1, 7)]
+    assert rows(contained_files(df, "f", RECORD), "inner", "outer") == [(1, 7), (7, 1)]
