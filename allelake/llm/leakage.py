@@ -13,7 +13,10 @@ meeting is then verified exactly, by the run of equal words and by the longest
 common subsequence with the stretch of the document around it.
 
 Words of set formulas, which many speeches share, count on neither side: a run
-of ``FORMULA`` words of an item that ``FORMULA_SHARE`` of all documents have.
+of ``FORMULA`` words of an item that ``FORMULA_SHARE`` of the different speeches
+have without most of the item around it. Copies and reissues of a speech are
+one speech, so much copied leaks aren't taken for formulas, nor are items that
+leaked as a whole into many speeches.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +42,15 @@ MEETINGS = 3
 #: Least run of equal words; least share of the item's words in order; least number of them; longest stretch as a multiple of the item.
 RUN, SHARE, LEAST, STRETCH = 12, 0.7, 8, 1.5
 
-#: A formula: words in a run; least share of documents, and least number of them.
+#: A formula: words in a run; least share of the different speeches, and least number of them.
 FORMULA, FORMULA_SHARE, FORMULA_DOCS = 8, 0.01, 5
 
+#: A speech has the item around a run if its runs cover so much of the item's words, and so many; it doesn't make the run a formula.
+AROUND, AROUND_LEAST = 0.5, 4 * FORMULA
+
+#: Columns that tell a speech's occasion, which a reissue keeps.
+OCCASION = ("source", "sitting_id", "speech_no", "held_at")
+
 #: Items that are compared in one pass over the documents; more make further passes.
 BLOCK = 20_000
 
@@ -261,27 +271,93 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
             yield [keys[h] for h in held], *W.joined([texts[h] for h in held], _GAP)
 
 
+@dataclass
+class Runs:
+    """The items' runs of ``FORMULA`` words, and where in the items each stands."""
+
+    lookup: W.Lookup
+    first: np.ndarray  # by run: where its places start in item and at
+    item: np.ndarray
+    at: np.ndarray
+    size: np.ndarray  # words of each item
+    longest: np.ndarray  # by run: the item with most words that has it
+
+    @classmethod
+    def of(cls, pairs: list[tuple]) -> Runs:
+        none = np.empty(0, np.int64)
+        own = [W.ids(t) for _, t in pairs]
+        hashes = [W.grams(x, FORMULA) for x in own]
+        lookup = W.Lookup(np.concatenate(hashes or [np.empty(0, np.uint64)]))
+        run = np.searchsorted(lookup.known, np.concatenate(hashes)) if len(lookup) else none
+        item = np.repeat(np.arange(len(own)), [len(h) for h in hashes])
+        at = np.concatenate([none, *[np.arange(len(h)) for h in hashes]])
+        size = np.array([len(x) for x in own], np.int64)
+        order = np.lexsort((at, item, size[item], run))
+        run, item, at = run[order], item[order], at[order]
+        first = np.searchsorted(run, np.arange(len(lookup) + 1))
+        return cls(lookup, first, item, at, size, item[first[1:] - 1])
+
+    def alone(self, seq: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, run) in ascending order of the runs that texts have without most of the item around them."""
+        hit, which = self.lookup.find(W.grams(seq, FORMULA))
+        both = np.unique((np.searchsorted(starts, hit, "right") - 1) * np.int64(len(self.lookup)) + which)
+        if not len(both):
+            return both, both
+        text, run = both // len(self.lookup), both % len(self.lookup)
+        many = self.first[run + 1] - self.first[run]
+        place = np.arange(many.sum()) + np.repeat(self.first[run] - (np.cumsum(many) - many), many)
+        wide = self.size.max() + FORMULA
+        codes = np.unique((np.repeat(text, many) * len(self.size) + self.item[place]) * wide + self.at[place])
+        pair, group = np.unique(codes // wide, return_inverse=True)
+        covered = np.bincount(group, np.minimum(np.diff(codes, append=codes[-1] + wide), FORMULA))
+        around = pair[covered >= np.maximum(AROUND_LEAST, AROUND * self.size[pair % len(self.size)])]
+        left = ~np.isin(text * len(self.size) + self.longest[run], around)
+        return text[left], run[left]
+
+
+def _told_apart(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc`` and the text. ``doc`` says what speech a row is of (``root`` by reference, ``occasion`` by its circumstances) and orders its issues; columns that aren't there tell nothing."""
+    has = set(documents.columns)
+    reissue = F.col("reissue_of") if "reissue_of" in has else F.lit(None)
+    root = F.xxhash64(F.coalesce(reissue.cast("string"), F.col(doc_id).cast("string")))
+    told = [F.col(c) for c in OCCASION if set(OCCASION) <= has]
+    known = F.lit(bool(told))
+    for c in told:
+        known &= c.isNotNull()
+    published = F.unix_micros(F.col("published_at").cast("timestamp")) if "published_at" in has else F.lit(None).cast("long")
+    doc = F.struct(
+        reissue.isNotNull().cast("long").alias("again"), F.coalesce(published, F.lit((1 << 63) - 1)).alias("published"), F.xxhash64(doc_id).alias("tie"),
+        root.alias("root"), F.when(known, F.xxhash64(F.lit("occasion"), *told)).otherwise(root).alias("occasion"),
+    )
+    return documents.where(F.col(doc_id).isNotNull()).select(doc.alias("doc"), F.col(text))
+
+
 def _formula_runs(documents: DataFrame, pairs: list[tuple]) -> W.Lookup:
-    """The items' runs that are formulas. Counts are over all documents, gathered per task before the shuffle."""
-    runs = W.Lookup(np.concatenate([W.grams(W.ids(t), FORMULA) for _, t in pairs] or [np.empty(0, np.uint64)]))
-    if not len(runs):
-        return runs
+    """The items' runs that are formulas. ``documents`` are as :func:`_told_apart` gives them; of each speech the first issue counts, and equal texts count once."""
+    runs = Runs.of(pairs)
+    if not len(runs.lookup):
+        return runs.lookup
     known = documents.sparkSession.sparkContext.broadcast(runs)  # of at most BLOCK items
+    fields = ("again", "published", "tie", "root", "occasion")
+    schema = pa.struct([*[(f, pa.int64()) for f in fields], ("words", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = known.value
-        counts, seen = np.zeros(len(runs), np.int64), 0
-        for keys, seq, starts in _chunks(batches):
-            hit, which = runs.find(W.grams(seq, FORMULA))
-            once = np.unique(np.searchsorted(starts, hit, "right") * np.int64(len(runs)) + which)
-            counts += np.bincount(once % len(runs), minlength=len(runs))
-            seen += len(keys)
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"run": pa.array([-1, *there.tolist()], pa.int64()), "n": pa.array([seen, *counts[there].tolist()], pa.int64())})
-
-    total = dict(documents.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).collect())  # a row per run of the items
+        for docs, seq, starts in _chunks(batches):
+            text, run = runs.alone(seq, starts)
+            ends = np.searchsorted(text, np.arange(len(docs) + 1))
+            own = [
+                d | {"words": xxhash.xxh3_64_intdigest(seq[starts[i] : starts[i + 1]].tobytes()) - (1 << 63), "runs": run[ends[i] : ends[i + 1]]} for i, d in enumerate(docs)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(own, schema)], names=["speech"])
+
+    speeches = documents.mapInArrow(seen, f"speech struct<{', '.join(f'{f}: long' for f in fields)}, words: long, runs: array<int>>")
+    for same in ("root", "occasion", "words"):  # combined before each shuffle, so many copies of one speech are no skew
+        speeches = speeches.groupBy(F.col("speech")[same].alias("same")).agg(F.min("speech").alias("speech"))
+    counted = speeches.select(F.explode(F.concat(F.array(F.lit(-1)), F.col("speech.runs"))).alias("run")).groupBy("run").count()
+    total = dict(counted.collect())  # a row per run of the items
     least = max(FORMULA_DOCS, FORMULA_SHARE * total.pop(-1, 0))
-    return W.Lookup(runs.known[sorted(i for i, n in total.items() if n >= least)])
+    return W.Lookup(runs.lookup.known[sorted(i for i, n in total.items() if n >= least)])
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -291,16 +367,19 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     order within a stretch of ``STRETCH`` times its length. Rows with a null id are
     left out; null and empty texts have no words; items with fewer than ``LEAST``
     counted words can only be too short a quote and are never found; repeated
-    rows change nothing; empty tables give no rows. Other columns are ignored.
+    rows change nothing; empty tables give no rows. Of other columns only
+    ``reissue_of``, ``published_at`` and those of ``OCCASION`` are read, if they are
+    there, to count a speech once however often it was issued.
     """
     docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id), F.col(text))
+    apart = _told_apart(documents, doc_id, text)
     given = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
     types = _arrow(docs, doc_id), _arrow(given, item_id)
     out: DataFrame | None = None
     block: list[tuple] = []
 
     def one(pairs: list[tuple]) -> DataFrame:
-        ready = documents.sparkSession.sparkContext.broadcast(Items.of(pairs, formulas := _formula_runs(docs, pairs)))
+        ready = documents.sparkSession.sparkContext.broadcast(Items.of(pairs, formulas := _formula_runs(apart, pairs)))
         runs = documents.sparkSession.sparkContext.broadcast(formulas)
         schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
 

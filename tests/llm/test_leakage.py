@@ -101,3 +101,33 @@ def test_blocks_of_items(spark, monkeypatch):
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "doc_id long, text string")
     t = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     assert rows(L.leaked(d, t)) == [(i, i) for i in range(5)]
+
+
+def test_copies_of_a_leak_make_no_formula(spark):
+    rng = np.random.default_rng(5)
+    item, formula = text(rng, 60), [f"set{i}" for i in range(20)]
+    speech = text(rng, 30) + item[10:30] + text(rng, 30)
+    noise = [text(rng, 60) + (formula if i < 10 else []) + text(rng, 9) for i in range(66)]
+    plain = [(i, " ".join(w)) for i, w in enumerate([*noise, *[speech] * 33, text(rng, 20) + item[10:30] + text(rng, 20), item[:30] + formula + item[30:]])]
+    items = spark.createDataFrame([(1, " ".join(item[:30] + formula + item[30:]))], "item_id long, text string")
+    expected = sorted(((i, 1) for i in range(66, 101)), key=repr)
+    assert rows(L.leaked(spark.createDataFrame(plain, "doc_id long, text string").repartition(3), items)) == expected
+    # Corrected issues, each otherwise, some with a reference and all of one occasion or, without one, all with a reference.
+    for told in (True, False):
+        issued = []
+        for i, t in plain:
+            copy = 66 < i < 99
+            w = t.split() + ([f"fix{i}"] if copy else [])
+            issued.append((i, " ".join(w), 66 if copy and (i % 2 or not told) else None, "h", (7 if 66 <= i < 99 else i) if told else None, 1, "2024-01-01"))
+        d = spark.createDataFrame(issued, "doc_id long, text string, reissue_of long, source string, sitting_id long, speech_no int, held_at string")
+        assert rows(L.leaked(d.repartition(3), items)) == expected
+
+
+def test_an_item_in_many_speeches_is_no_formula(spark):
+    rng = np.random.default_rng(6)
+    item, formula = text(rng, 60), [f"set{i}" for i in range(20)]
+    whole = item[:30] + formula + item[30:]
+    docs = [text(rng, 30) + (whole if i < 20 else formula if i < 50 else []) + text(rng, 30) for i in range(100)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    t = spark.createDataFrame([(1, " ".join(whole)), (2, " ".join(formula))], "item_id long, text string")
+    assert rows(L.leaked(d, t)) == sorted(((i, 1) for i in range(20)), key=repr)
