@@ -4,7 +4,8 @@ A dataset is a folder of Parquet tables: ``records`` (by contig), ``headers``,
 ``allele_count``, ``variant_stats``, ``sample_stats``, ``deleted`` and a small
 ``meta.json``. Everything is appended under one ``ingest_ts`` per batch; the
 records of a batch come last, so a batch that has records has its aggregates.
-Deletions append to ``deleted`` and take the aggregates back; reads leave deleted
+A batch that is named (streams do) has its name in each table, so a retry writes
+only what is missing. Deletions append to ``deleted`` and take the aggregates back; reads leave deleted
 samples out and :meth:`Dataset.compact` rewrites without them.
 """
 
@@ -39,14 +40,14 @@ BUILTIN = ("sample_name", "contig", "pos_start", "pos_end", "alleles", "id", "fi
 
 RECORDS = (
     "sample string, contig string, pos int, end_pos int, id string, alleles array<string>, qual float, filters array<string>, "
-    "gt array<int>, info map<string,string>, fmt map<string,string>, ingest_ts timestamp"
+    "gt array<int>, info map<string,string>, fmt map<string,string>, ingest_ts timestamp, batch string"
 )
 TABLES = {
     "records": RECORDS,
     "headers": "sample string, header string, ingest_ts timestamp",
-    "allele_count": "contig string, pos int, ref string, alt string, filter string, gt string, count int, sample string",
-    "variant_stats": "contig string, pos int, end_pos int, sample string, allele string, ac int, an int, n_hom int",
-    "sample_stats": "sample string, " + ", ".join(f"{c} long" for c in stats.COUNTERS) + ", ingest_ts timestamp",
+    "allele_count": "contig string, pos int, ref string, alt string, filter string, gt string, count int, sample string, batch string",
+    "variant_stats": "contig string, pos int, end_pos int, sample string, allele string, ac int, an int, n_hom int, batch string",
+    "sample_stats": "sample string, " + ", ".join(f"{c} long" for c in stats.COUNTERS) + ", ingest_ts timestamp, batch string",
     "deleted": "sample string, deleted_ts timestamp, kept_aggregates boolean",
 }
 
@@ -158,11 +159,12 @@ class Dataset:
             writer = self.spark.createDataFrame([], self._schema(name)).write
             (writer.partitionBy("contig") if name == "records" else writer).parquet(f"{self.uri}/{name}")
 
-    def ingest_samples(self, sample_uris: Sequence[str] | str, resume: bool = False, contig_mode: str = "all", contigs_to_keep_separate: Sequence[str] = ()) -> int:
+    def ingest_samples(self, sample_uris: Sequence[str] | str, resume: bool = False, contig_mode: str = "all", contigs_to_keep_separate: Sequence[str] = (), batch: str | None = None) -> int:
         """Append single-sample files (a list of paths, or a file with a path per line) and return the number of new records.
 
         ``resume`` skips (sample, contig) pairs that have records. ``contig_mode``: all,
-        separate (only the contigs to keep separate) or merged (only the others).
+        separate (only the contigs to keep separate) or merged (only the others). ``batch``
+        names this ingest: tried again under its name, it writes only the tables it hadn't.
         """
         self._need("w")
         if contig_mode not in ("all", "separate", "merged"):
@@ -182,16 +184,18 @@ class Dataset:
         if resume:
             there = self._table("records").select("sample", "contig").distinct()
             records = records.join(there, ["sample", "contig"], "left_anti")
-        return self.append(records, headers.drop("file"))
+        return self.append(records, headers.drop("file"), batch)
 
-    def append(self, records: DataFrame, headers: DataFrame) -> int:
-        """Append parsed records and headers with their aggregates; checks the number of records written."""
+    def append(self, records: DataFrame, headers: DataFrame, batch: str | None = None) -> int:
+        """Append parsed records and headers with their aggregates; checks the number of records written. Tables that have rows of a named ``batch`` are left as they are."""
+        if not self._lacks("records", batch):
+            return 0
         meta = self.meta
         stamp = F.lit(int(time.time() * 1000)).cast("long")
         at = F.timestamp_millis(stamp)
         # Parsed once; aggregates, records and the check all read the staged table.
         own = [F.element_at(a.split("_", 1)[0], a.split("_", 1)[1]).alias(a) for a in self._own_columns()]
-        records = written(records.withColumn("ingest_ts", at).select(*[f.strip().split(" ")[0] for f in RECORDS.split(", ")], *own), "ingest")
+        records = written(records.withColumns({"ingest_ts": at, "batch": F.lit(batch).cast("string")}).select(*[f.strip().split(" ")[0] for f in RECORDS.split(", ")], *own), "ingest")
         if not meta["allow_duplicates"]:
             twice = records.groupBy("contig", "pos", "sample").count().where("count > 1").limit(1).collect()
             if twice:
@@ -199,13 +203,14 @@ class Dataset:
         known = self._live(self._table("headers")).select("sample").distinct()
         new = headers.join(known, "sample", "left_anti").withColumn("ingest_ts", at).dropDuplicates(["sample"])
         self._write(new.select("sample", "header", "ingest_ts"), "headers")
-        if meta["enable"]["allele_count"]:
-            self._write(self._by_sample(records), "allele_count")
-        if meta["enable"]["variant_stats"]:
-            self._write(stats.variant_stats_partial(records, meta["variant_stats_version"]), "variant_stats")
-        if meta["enable"]["sample_stats"]:
+        named = F.lit(batch).cast("string")
+        if meta["enable"]["allele_count"] and self._lacks("allele_count", batch):
+            self._write(self._by_sample(records).withColumn("batch", named), "allele_count")
+        if meta["enable"]["variant_stats"] and self._lacks("variant_stats", batch):
+            self._write(stats.variant_stats_partial(records, meta["variant_stats_version"]).withColumn("batch", named), "variant_stats")
+        if meta["enable"]["sample_stats"] and self._lacks("sample_stats", batch):
             deep = records.withColumns({c: F.split(F.element_at("fmt", c.upper()), ",")[0].try_cast("int") for c in ("dp", "gq")})
-            self._write(stats.sample_stats(deep).withColumn("ingest_ts", at), "sample_stats")
+            self._write(stats.sample_stats(deep).withColumns({"ingest_ts": at, "batch": named}), "sample_stats")
         sized = records.repartitionByRange("contig", "pos", "sample").sortWithinPartitions("contig", "pos", "sample")
         sized.write.mode("append").partitionBy("contig").option("compression", meta["compression"]).parquet(f"{self.uri}/records")
         expected, wrote = records.count(), self._table("records").where(F.unix_millis("ingest_ts") == stamp).count()
@@ -213,6 +218,10 @@ class Dataset:
             raise RuntimeError(f"{expected} records were read but {wrote} written")
         return wrote
 
+    def _lacks(self, name: str, batch: str | None) -> bool:
+        """Whether a table has no rows of the batch."""
+        return batch is None or self._table(name).where(F.col("batch") == batch).isEmpty()
+
     @staticmethod
     def _by_sample(records: DataFrame) -> DataFrame:
         # The sample stays in the partials, so deletion can take its counts back without rereading records.
@@ -343,7 +352,7 @@ class Dataset:
         return out
 
     def _select(self, samples, samples_file, regions, bed_file, bed_table, skip_check) -> DataFrame:
-        records = self._as_of(self._live(self._table("records")))
+        records = self._as_of(self._live(self._table("records"))).drop("batch")
         names = self._samples()
         if samples is not None:
             records = select.with_samples(records, [samples] if isinstance(samples, str) else samples)
