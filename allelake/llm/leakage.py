@@ -37,6 +37,7 @@ WINDOW, WALKS, KEYS, SAMPLED = 8, 4, 6, 11
 STEPS = 3 * WINDOW
 
 #: Meetings with an item at one place that make a candidate. A run of RUN equal words has RUN - WINDOW + 1 = 5 or more.
+#: Items with few windows need fewer: one, and one more for each 5 windows.
 MEETINGS = 3
 
 #: Least run of equal words; least share of the item's words in order; least number of them; longest stretch as a multiple of the item.
@@ -186,7 +187,8 @@ class Items:
             _, group = np.unique(group, return_inverse=True)
             one = np.unique(group * np.int64(len(self.seq)) + q) // len(self.seq)
             near = np.maximum(near, np.bincount(one, minlength=len(p))[group])
-        kept = near >= MEETINGS
+        enough = np.clip(1 + (self.size - WINDOW + 1) // (RUN - WINDOW + 1), 1, MEETINGS)  # by item
+        kept = near >= enough[item]
         p, q, text, item = p[kept], q[kept], text[kept], item[kept]
         if not len(p):
             return found
@@ -211,10 +213,16 @@ class Items:
         need = np.maximum(LEAST, np.ceil(SHARE * n - 1e-9).astype(np.int64))
         lo = np.maximum(d * 2 * WINDOW - n // 4, starts[t])
         hi = np.minimum(d * 2 * WINDOW - n // 4 + (STRETCH * n).astype(np.int64) + 2 * WINDOW, starts[t + 1])
+        short = enough[k] < MEETINGS
+        span = (STRETCH * n).astype(np.int64)
+        hi = np.where(short, np.minimum(hi + n // 4, starts[t + 1]), hi)
         open_ = np.array([pair not in found for pair in zip(t.tolist(), k.tolist())], bool) & (n >= need)
         for c in self._may(seq, k, lo, hi, need, np.flatnonzero(open_)).tolist():
             pair = int(t[c]), int(k[c])
-            if pair not in found and common(self.seq[self.first[k[c]] : self.first[k[c]] + n[c]], seq[lo[c] : hi[c]]) >= need[c]:
+            own = self.seq[self.first[k[c]] : self.first[k[c]] + n[c]]
+            # Of a short item the place is wide against its stretch, so each stretch is looked at.
+            stretches = [(a, min(a + span[c], hi[c])) for a in range(lo[c], max(lo[c] + 1, hi[c] - need[c] + 1))] if short[c] else [(lo[c], hi[c])]
+            if pair not in found and any(common(own, seq[a:b]) >= need[c] for a, b in stretches):
                 found.add(pair)
         return found
 

@@ -131,3 +131,19 @@ def test_an_item_in_many_speeches_is_no_formula(spark):
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
     t = spark.createDataFrame([(1, " ".join(whole)), (2, " ".join(formula))], "item_id long, text string")
     assert rows(L.leaked(d, t)) == sorted(((i, 1) for i in range(20)), key=repr)
+
+
+@pytest.mark.parametrize("n", range(8, 18))
+def test_short_items(n):
+    rng = np.random.default_rng(n)
+    items = [text(rng, n) for _ in range(50)]
+    need = max(L.LEAST, -(-7 * n // 10))
+    docs = [" ".join(text(rng, 20 + i % 16) + w + text(rng, 30)) for i, w in enumerate(items)]
+    docs += [" ".join(text(rng, 20) + w[:need] + text(rng, 30)) for w in items]  # the most words missing at the end
+    docs += [" ".join(text(rng, 20) + [y for x in w for y in (x, "zz", "zz")] + text(rng, 30)) for w in items]  # a stretch three times too long
+    ready = L.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], W.Lookup(np.empty(0, np.uint64)))
+    seq, starts = W.joined(docs, L._GAP)
+    found = ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts)
+    assert found >= {(i, i) for i in range(50)} and found <= {(i, i % 50) for i in range(100)}
+    if n < 12:
+        assert found == {(i, i % 50) for i in range(100)}
