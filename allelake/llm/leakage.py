@@ -206,9 +206,10 @@ class Items:
         found.update(zip(text[longest >= RUN].tolist(), item[longest >= RUN].tolist()))
         # The rest: once per place, where an item of that size may lie.
         diagonal = (p - (q - self.first[item])) // (2 * WINDOW)
-        many = np.int64(len(self.ids)), np.int64(int(diagonal.max()) + 2)
-        codes = np.unique((text * many[0] + item) * many[1] + diagonal + 1)
-        t, k, d = codes // many[1] // many[0], codes // many[1] % many[0], codes % many[1] - 1
+        least = diagonal.min()  # below 0 where the first text lacks an item's beginning
+        many = np.int64(len(self.ids)), diagonal.max() - least + 1
+        codes = np.unique((text * many[0] + item) * many[1] + diagonal - least)
+        t, k, d = codes // many[1] // many[0], codes // many[1] % many[0], codes % many[1] + least
         n = self.size[k]
         need = np.maximum(LEAST, np.ceil(SHARE * n - 1e-9).astype(np.int64))
         lo = np.maximum(d * 2 * WINDOW - n // 4, starts[t])

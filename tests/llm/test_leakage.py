@@ -147,3 +147,13 @@ def test_short_items(n):
     assert found >= {(i, i) for i in range(50)} and found <= {(i, i % 50) for i in range(100)}
     if n < 12:
         assert found == {(i, i % 50) for i in range(100)}
+
+
+def test_the_first_text_may_lack_the_beginning():
+    rng = np.random.default_rng(12)
+    items = [text(rng, 100) for _ in range(3)]
+    docs = [" ".join(y for i, x in enumerate(items[1][28:]) for y in ([x] if (i + 1) % 10 else [x, "zz"])), " ".join(text(rng, 300))]
+    ready = L.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], W.Lookup(np.empty(0, np.uint64)))
+    for texts in (docs, docs[::-1], docs[:1]):
+        seq, starts = W.joined(texts, L._GAP)
+        assert ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts) == {(texts.index(docs[0]), 1)}
