@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from allelake.operators.skew import balanced_aggregate, balanced_apply, fragment, fragment_replicate_join, pack, plan_load
+from allelake.operators.skew import BIN, SHARD, TOKEN, balanced_aggregate, balanced_apply, fragment, fragment_replicate_join, pack, plan_load
 
 
 @given(st.lists(st.integers(1, 1000), max_size=20), st.integers(1, 12))
@@ -59,3 +59,24 @@ def test_join_equals_plain_with_clashing_names(spark):
 def test_empty_table(spark):
     df = skewed(spark).limit(0)
     assert balanced_aggregate(df, ["k"], [F.count("*").alias("n")], [F.sum("n").alias("n")]).count() == 0
+
+
+def test_rows_and_partial_rows_are_in_their_planned_bin(spark):
+    df = skewed(spark)
+    plan = plan_load(df, ["k"], 8, one_in=1)
+    placed = fragment(df, plan)
+    direct = placed.repartitionById(8, BIN).where(F.spark_partition_id() != F.col(BIN))
+    assert direct.count() == 0
+    planned = placed.join(plan.heavy.where("k is not null"), "k", "left_semi").where(F.col(TOKEN) > 0)
+    by_token = planned.repartition(8, "k", SHARD, TOKEN).where(F.spark_partition_id() != F.col(BIN))
+    assert planned.count() > 300 and by_token.count() == 0
+    loads = [r[1] for r in placed.groupBy(BIN).count().collect()]
+    assert len(loads) == 8 and max(loads) <= 1.3 * 1000 / 8
+
+
+def test_join_and_apply_shuffle_each_side_once(spark):
+    df = skewed(spark)
+    plan = plan_load(df, ["k"], 8)
+    right = spark.range(5000).select(F.concat(F.lit("k"), F.col("id") % 50).alias("k"), F.col("id").alias("w"))
+    text = fragment_replicate_join(df, right, ["k"], plan=plan)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange shufflepartitionidpassthrough") == 2 and "Exchange hashpartitioning" not in text
