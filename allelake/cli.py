@@ -1,4 +1,4 @@
-"""Command line: create, store, export, list, stat, delete, compact, version."""
+"""Command line: create, store, export, list, stat, delete, compact, vacuum, utils, version."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import argparse
 import json
 import sys
 
-VERSION = "0.1.0"
-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="allelake", description="Variant datasets on Spark")
@@ -29,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--resume", action="store_true")
     s.add_argument("--contig-mode", default="all", choices=("all", "separate", "merged"))
     s.add_argument("--contigs-to-keep-separate", default="")
+    s.add_argument("-s", "--sample-batch-size", type=int)
     s.add_argument("paths", nargs="*")
 
     e = sub.add_parser("export", help="export records")
@@ -49,8 +48,11 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--region-partition", type=pair)
     e.add_argument("--disable-check-samples", action="store_true")
 
-    for name, text in (("list", "sample names"), ("stat", "figures of a dataset"), ("compact", "rewrite without deleted samples")):
+    for name, text in (("list", "sample names"), ("stat", "figures of a dataset"), ("compact", "fold batches into one, without deleted samples"), ("vacuum", "remove folders nothing refers to")):
         sub.add_parser(name, help=text).add_argument("-u", "--uri", required=True)
+    u = sub.add_parser("utils", help="consolidate or vacuum")
+    u.add_argument("action", choices=("consolidate", "vacuum"))
+    u.add_argument("-u", "--uri", required=True)
     d = sub.add_parser("delete", help="delete samples")
     d.add_argument("-u", "--uri", required=True)
     d.add_argument("-s", "--sample-names", required=True)
@@ -62,12 +64,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None) -> int:
     """Run one command. ``spark``: the session to use; one is made if none is given."""
     a = parser().parse_args(argv)
+    from pyspark.sql import SparkSession
+
+    from allelake.dataset import VERSION, Dataset, ReadConfig
+
     if a.command == "version":
         print(VERSION)
         return 0
-    from pyspark.sql import SparkSession
-
-    from allelake.dataset import Dataset, ReadConfig
 
     spark = spark or SparkSession.builder.appName("allelake").getOrCreate()
     words = lambda s: [x for x in s.split(",") if x]
@@ -76,7 +79,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             words(a.attributes), a.vcf_attributes, not a.no_duplicates, not a.disable_allele_count, not a.disable_variant_stats, not a.disable_sample_stats, a.variant_stats_version
         )
     elif a.command == "store":
-        n = Dataset(spark, a.uri, "w").ingest_samples(a.samples_file or a.paths, a.resume, a.contig_mode, words(a.contigs_to_keep_separate))
+        n = Dataset(spark, a.uri, "w").ingest_samples(a.samples_file or a.paths, a.resume, a.contig_mode, words(a.contigs_to_keep_separate), sample_batch_size=a.sample_batch_size)
         print(n)
     elif a.command == "export":
         if a.af_filter and a.count_only:
@@ -86,15 +89,17 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if a.count_only:
             print(ds.count(names, words(a.regions) or None, samples_file=a.samples_file, bed_file=a.regions_file))
         else:
-            ds.export(names, words(a.regions) or None, a.samples_file, a.regions_file, a.merge, a.output_format, a.output_path, a.output_dir, words(a.tsv_fields), a.disable_check_samples)
+            ds.export(names, words(a.regions) or None, a.samples_file, a.regions_file, a.merge, a.output_format, a.output_path, a.output_dir, words(a.tsv_fields), a.disable_check_samples, a.af_filter)
     elif a.command == "list":
         print("\n".join(Dataset(spark, a.uri).samples()))
     elif a.command == "stat":
         print(json.dumps(Dataset(spark, a.uri).stat(), indent=1))
     elif a.command == "delete":
         Dataset(spark, a.uri, "w").delete_samples(words(a.sample_names), a.skip_aggregate_stats)
-    elif a.command == "compact":
+    elif a.command == "compact" or a.command == "utils" and a.action == "consolidate":
         Dataset(spark, a.uri, "w").compact()
+    elif a.command in ("vacuum", "utils"):
+        print(Dataset(spark, a.uri, "w").vacuum())
     return 0
 
 

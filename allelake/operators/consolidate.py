@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from allelake.session import scratch_path
 from allelake.sources import footer as P
+from allelake.sources.files import open_uri
 
 #: Bytes of a well-sized file.
 TARGET = 128 << 20
@@ -29,23 +30,12 @@ _CHUNK = 8 << 20
 _SCHEMA = "path string, rows long, blocks long, bytes long, inputs long, input_rows long, input_blocks long, problem string"
 
 
-def _open(uri: str):
-    """(file system, path) of a URI or plain path."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 class _Output:
     """One file being written: blocks so far and the footer to come."""
 
     def __init__(self, folder: str, first: dict, name: str) -> None:
         self.folder, self.name, self.first = folder, name, first
-        self.system, base = _open(folder)
+        self.system, base = open_uri(folder)
         self.system.create_dir(base, recursive=True)
         self.temporary, self.final = posixpath.join(base, f"_{name}.{id(self):x}.tmp"), posixpath.join(base, f"{name}.parquet")
         self.sink = self.system.open_output_stream(self.temporary)
@@ -108,7 +98,7 @@ def consolidate(files: DataFrame, into: str, target: int = TARGET) -> DataFrame:
         done = []
         for pdf in batches:
             for path in pdf["path"]:
-                system, at = _open(path)
+                system, at = open_uri(path)
                 with system.open_input_file(at) as source:
                     try:
                         meta = P.read_footer(source, source.size())

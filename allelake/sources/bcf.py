@@ -128,12 +128,12 @@ def bcf_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from allelake.operators.consolidate import _open
+        from allelake.sources.files import open_uri
 
         for batch in batches:
             found = []
             for path in batch.column(0).to_pylist():
-                system, at = _open(path)
+                system, at = open_uri(path)
                 with system.open_input_file(at) as raw:
                     packed = raw.read(2) == b"\x1f\x8b"
                     raw.seek(0)
@@ -194,11 +194,11 @@ def read_bcf(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from allelake.operators.consolidate import _open
+        from allelake.sources.files import open_uri
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, at = _open(path)
+                system, at = open_uri(path)
                 with system.open_input_file(at) as raw:
                     packed = raw.read(2) == b"\x1f\x8b"
                     raw.seek(0)

@@ -1,21 +1,26 @@
 """Single-sample variant files as tables of records and headers.
 
 Text files (plain, gzip or block gzip) are read and parsed by Spark's own
-functions; a file of any size is a stream of lines. Header lines are few and are
-grouped per file.
+functions; a file of any size is a stream of lines, scanned once. Headers are read
+apart, a file's beginning only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelake.functions import alleles as A
 from allelake.operators.drift import declarations
+from allelake.sources.files import lines_of, listed, text_lines
+
+#: Names of this many files at most are broadcast to the scan of their lines.
+NAMED = 100_000
 
 #: INFO and FORMAT fields that hold one number although others are lists.
 SCALARS = ("fmt_DP", "fmt_GQ", "fmt_PS", "fmt_PQ", "fmt_MQ", "fmt_MIN_DP", "info_IAN")
@@ -77,22 +82,26 @@ def parse_map(text: Column, flag: str = "") -> Column:
 
 
 def map_of(entries: Column) -> Column:
-    """A map from an array of (k, v) where keys may repeat."""
+    """A map from an array of (k, v) where keys may repeat; the last of equal ones counts. Only rows that repeat a key pay for the search."""
+    keys = F.transform(entries, lambda e: e["k"])
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(entries)).otherwise(F.map_from_entries(last))
 
 
-def read_vcf(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+def read_vcf(spark: SparkSession, paths: Sequence[str] | str, heads: DataFrame | None = None) -> DataFrame:
     """Records of single-sample files: ``file, sample, contig, pos, end_pos, id, alleles, qual, filters, gt, info, fmt``.
 
     ``pos`` and ``end_pos`` are 0-based and inclusive. Missing ids stay ``.``; missing
     quality and filters are null. Files without a sample column belong to the
     sample ``""``; files with several raise. Lines with fewer than 8 fields are
-    left out. No records give an empty table.
+    left out. No records give an empty table. ``heads``: what :func:`read_headers`
+    gave for these files, where the caller has it already; else their beginnings
+    are read beside the one scan of the lines.
     """
-    lines = _lines(spark, paths)
-    names = file_samples(lines)
-    body = lines.where(~F.col("value").startswith("#")).withColumn("c", F.split("value", "\t")).where(F.size("c") >= 8)
+    names = (heads if heads is not None else read_headers(spark, paths)).select("file", "sample")
+    if isinstance(paths, str) or len(paths) <= NAMED:
+        names = F.broadcast(names)  # a row a file of one call; else the join is left to Spark
+    body = text_lines(spark, paths).where(~F.col("value").startswith("#")).withColumn("c", F.split("value", "\t")).where(F.size("c") >= 8)
     c = F.col("c")
     none = lambda x: F.when(x != ".", x)
     pos = (c[1].cast("int") - 1).alias("pos")
@@ -115,25 +124,55 @@ def read_vcf(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    return spark.read.text(paths if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
-
-
-def file_samples(lines: DataFrame) -> DataFrame:
-    """``file, sample`` from the column line of each file."""
-    head = lines.where(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("c"))
-    name = F.coalesce(A.sample_name(F.get("c", F.lit(9))), F.when(F.size("c") <= 9, F.lit("")))
-    several = F.raise_error(F.concat(F.lit("more than one sample in "), F.col("file")))
-    bad = F.raise_error(F.concat(F.lit("no valid sample name in "), F.col("file")))
-    return head.select("file", F.when(F.size("c") > 10, several.cast("string")).when(name.isNull(), bad.cast("string")).otherwise(name).alias("sample"))
+def column_sample(line: str, file: str) -> str:
+    """The sample a column line names; ``""`` where it has no sample column. Raises for several and for names that can't be."""
+    c = line.split("\t")
+    if len(c) > 10:
+        raise ValueError(f"more than one sample in {file}")
+    name = c[9].strip() if len(c) == 10 else ""
+    if any(x in name for x in ",\t\0"):
+        raise ValueError(f"no valid sample name in {file}")
+    return name
 
 
 def read_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """``file, sample, header``: header texts with the lines in their order, without the column line."""
-    lines = _lines(spark, paths).where(F.col("value").startswith("#"))
-    numbered = lines.withColumn("n", F.monotonically_increasing_id())  # a file's header stands in one split, in order
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").startswith("##"), F.struct("n", "value")))), lambda x: x["value"]), "\n")
-    return numbered.groupBy("file").agg(text.alias("header")).join(file_samples(lines), "file").select("file", "sample", "header")
+    """``file, sample, header``: header texts with the lines in their order, without the column line. A file is read up to that line only; one without it is left out."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, file in zip(pdf["path"], pdf["file"]):
+                own = []
+                for line in lines_of(path):
+                    if line.startswith("##"):
+                        own.append(line)
+                    elif line.startswith("#"):
+                        rows.append((file, column_sample(line, file), "\n".join(own)))
+                        break
+                    elif line:
+                        break
+            yield pd.DataFrame(rows, columns=["file", "sample", "header"])
+
+    found = listed(spark, paths)
+    return found.repartition(F.col("path")).mapInPandas(heads, "file string, sample string, header string")
+
+
+def merged_header(headers: DataFrame) -> str:
+    """One header text from ``sample, header`` of many samples: the first sample's lines, and of the others the declarations it lacks.
+
+    Of several declarations of one name that of the first sample in order counts.
+    What is collected is bounded by the distinct names declared.
+    """
+    first = headers.orderBy("sample").limit(1).collect()
+    if not first:
+        return ""
+    own = (first[0]["header"] or "").splitlines()
+    line = F.explode(F.split("header", r"\r\n|\n|\r"))
+    lines = headers.select("sample", line.alias("line")).where(F.col("line").rlike("^##(INFO|FORMAT|FILTER|ALT|contig)=<"))
+    keyed = lines.select("sample", "line", F.regexp_extract("line", "^##([A-Za-z]+)", 1).alias("kind"), F.regexp_extract("line", "[<,]ID=([^,>]*)", 1).alias("id"))
+    found = keyed.groupBy("kind", "id").agg(F.min(F.struct("sample", "line")).alias("m")).select("kind", "id", "m.line").collect()
+    have = {(m[1], m[2]) for x in own if (m := re.match(r"##(\w+)=<(?:.*?,)?ID=([^,>]*)", x))}
+    return "\n".join([*own, *(r["line"] for r in sorted(found, key=lambda r: (r["kind"], r["id"])) if (r["kind"], r["id"]) not in have)])
 
 
 def typed(records: DataFrame, fields: Sequence[Field]) -> DataFrame:
