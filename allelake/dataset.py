@@ -166,7 +166,7 @@ class Dataset:
         """A table of the committed batches."""
         schema = self._schema(name) + (", contig string" if name in BY_CONTIG else "") + ", batch string"
         ids = self._batches() if batches is None else list(batches)
-        ids = [i for i in ids if i[0] in ("b", "c") or name in ("allele_count", "variant_stats")]
+        ids = [i for i in ids if i[0] in ("b", "c") or name in ("allele_count", "variant_stats")] if self.meta["enable"].get(name, True) else []
         if not ids:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.uri}/{name}").parquet(*(f"{self.uri}/{name}/batch={i}" for i in ids))
@@ -323,8 +323,9 @@ class Dataset:
         ident, now = self._new_id("d")
         own = F.col("sample").isin(list(samples))
         for name, counts in (("allele_count", ("count",)), ("variant_stats", ("ac", "an", "n_hom"))):
-            gone = stats.negated(self._table(name).where(own), counts)
-            self._write(gone.limit(0) if skip_aggregate_stats else gone, name, ident)
+            if self.meta["enable"][name]:
+                gone = stats.negated(self._table(name).where(own), counts)
+                self._write(gone.limit(0) if skip_aggregate_stats else gone, name, ident)
         rows = [("delete", None, None, s, None, 0, None, skip_aggregate_stats) for s in samples]
         log = self.spark.createDataFrame(rows, LOG).withColumn("at", F.timestamp_millis(F.lit(now)))
         self._commit(log, ident)
@@ -355,14 +356,18 @@ class Dataset:
         if not old:
             return
         ident, _ = self._new_id("c")
+        on = self.meta["enable"]
         for name in ("records", "headers", "sample_stats"):
-            self._write(self._live(self._table(name, old)), name, ident)
+            if on.get(name, True):
+                self._write(self._live(self._table(name, old)), name, ident)
         ac = self._table("allele_count", old).groupBy("contig", "pos", "ref", "alt", "filter", "gt", "sample").agg(F.sum("count").cast("int").alias("count"))
-        self._write(ac.where("count <> 0"), "allele_count", ident)
+        if on["allele_count"]:
+            self._write(ac.where("count <> 0"), "allele_count", ident)
         vs = self._table("variant_stats", old).groupBy("contig", "pos", "end_pos", "sample", "allele")
         # Rows of 0 calls that no deletion took back (reference rows of version 2) stay.
         vs = vs.agg(F.sum("ac").cast("int").alias("ac"), F.sum("an").cast("int").alias("an"), F.sum("n_hom").cast("int").alias("n_hom"))
-        self._write(vs.where("ac <> 0 or an <> 0"), "variant_stats", ident)
+        if on["variant_stats"]:
+            self._write(vs.where("ac <> 0 or an <> 0"), "variant_stats", ident)
         log = self._log()
         names = log.where("name is not null").select("name").distinct().select(
             F.lit("ingest").alias("kind"), "name", F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("sample"), F.lit(None).cast("string").alias("contig"),

@@ -52,10 +52,10 @@ def info_text(info: Column) -> Column:
 
 
 def vcf_line(end_declared: bool = True) -> Column:
-    """A record as a line of its sample's file. A record longer than its reference gets END back if the header declares it."""
+    """A record as a line of its sample's file. A record whose end isn't its reference's gets END back if the header declares it."""
     info = F.col("info")
     if end_declared:
-        longer = F.col("end_pos") + 1 > F.col("pos") + F.length(F.element_at("alleles", 1))
+        longer = F.col("end_pos") + 1 != F.col("pos") + F.length(F.element_at("alleles", 1))
         lost = ~F.coalesce(F.map_contains_key("info", "END"), F.lit(False))
         info = F.when(longer & lost, F.map_concat(F.coalesce("info", F.expr("cast(map() as map<string,string>)")), F.create_map(F.lit("END"), (F.col("end_pos") + 1).cast("string")))).otherwise(info)
     keys = F.map_keys("fmt")
