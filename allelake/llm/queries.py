@@ -1,7 +1,8 @@
-"""The registered queries on texts."""
+"""The registered queries: percentiles, packing, leakage, splitting."""
 
 from pyspark.sql import DataFrame, SparkSession
 
+from allelake.llm import daily
 from allelake.llm.leakage import leaked
 from allelake.llm.packing import pack_texts
 from allelake.llm.splitting import LIMIT, OVERLAP, split_texts
@@ -28,7 +29,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "documents"), limit=LIMIT, overlap=OVERLAP, only_oversized=True)
 
 
-QUERIES = {"p7_packed": p7_packed, "p8_found": p8_found, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {**daily.QUERIES, "p7_packed": p7_packed, "p8_found": p8_found, "p9_found": p9_found, "p9_pieces": p9_pieces}
 
 #: What SQL can't express (tokens, edit distance) is tested against brute force in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**daily.SQL}
