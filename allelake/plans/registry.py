@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from allelake.plans import daily, files, headers, skewed, spans, store, variants, wide
+from allelake.plans import files, headers, skewed, spans, store, variants, wide
 
-MODULES = (variants, store, files, skewed, headers, wide, spans, daily)
+MODULES = (variants, store, files, skewed, headers, wide, spans)
 
 
 def queries() -> dict:
