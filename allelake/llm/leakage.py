@@ -5,12 +5,17 @@ of items and of documents, is embedded by CGK random walks (a walk reads a
 word, emits it, and moves on if a random bit of the word and the step says so,
 for three times the window's length), under which windows a few edits apart get
 embeddings of small Hamming distance. Repeated bit sampling of the embeddings
-gives the keys under which document windows meet item windows. Windows have the
-size of the smallest passage that counts, less what makes every such passage
-hold several whole windows: equal windows have equal keys, so verbatim passages
-are always met, edited ones with the recall that the repetitions give. Each
-meeting is then verified exactly, by the run of equal words and by the longest
-common subsequence with the stretch of the document around it.
+gives the keys under which document windows meet item windows. A document and
+an item that meet often enough along one band of diagonals, as the item's
+length lets expect at the target recall, are verified exactly, by the run of
+equal words and by the longest common subsequence within a stretch.
+
+Windows don't have the item's size: with three of ten words gone, walks over a
+whole item are out of step nearly everywhere, and a quote of a few lines of a
+long item would be met by no window at all. An item's windows are many, though,
+and of each the words between two edits stay in step; so few steps are sampled
+a key, and meetings are added up over the item. Equal windows have equal keys,
+so verbatim passages are always met.
 
 Words of set formulas, which many speeches share, count on neither side: a run
 of ``FORMULA`` words of an item that ``FORMULA_SHARE`` of the different speeches
@@ -21,7 +26,7 @@ leaked as a whole into many speeches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,15 +38,15 @@ from pyspark.sql import functions as F
 from allelake.llm import words as W
 
 #: Words of a window, steps of a walk, walks, keys a walk, sampled steps a key.
-WINDOW, WALKS, KEYS, SAMPLED = 8, 4, 6, 11
+WINDOW, WALKS, KEYS, SAMPLED = 8, 4, 6, 6
 STEPS = 3 * WINDOW
 
-#: Meetings with an item at one place that make a candidate. A run of RUN equal words has RUN - WINDOW + 1 = 5 or more.
-#: Items with few windows need fewer: one, and one more for each 5 windows.
-MEETINGS = 3
+#: Keys that must meet along a band, as a share of the item's words less an allowance; at least one. A passage with 70 % of the words, edits
+#: spread evenly, reached 0.17 of the words in 95 of 100 cases.
+MET, ALLOWED = 0.16, 2.2
 
-#: Least run of equal words; least share of the item's words in order; least number of them; longest stretch as a multiple of the item.
-RUN, SHARE, LEAST, STRETCH = 12, 0.7, 8, 1.5
+#: Least run of equal words; least share of the item's words in order; least number of them (fewer are a quote of a few words); longest stretch as a multiple of the item.
+RUN, SHARE, LEAST, STRETCH = 12, 0.7, 8, 2.0
 
 #: A formula: words in a run; least share of the different speeches, and least number of them.
 FORMULA, FORMULA_SHARE, FORMULA_DOCS = 8, 0.01, 5
@@ -52,8 +57,12 @@ AROUND, AROUND_LEAST = 0.5, 4 * FORMULA
 #: Columns that tell a speech's occasion, which a reissue keeps.
 OCCASION = ("source", "sitting_id", "speech_no", "held_at")
 
-#: Items that are compared in one pass over the documents; more make further passes.
-BLOCK = 20_000
+#: Characters of items that are compared in one pass over the documents (about 300 bytes of tables a word, so 100 MB a pass), and of those whose
+#: formulas are sought in one pass (40 bytes a word). More make further passes; an item longer than that has one of its own.
+BLOCK, FORMULA_BLOCK = 2_000_000, 16_000_000
+
+#: Words of a patch, the unit in which a document's words are noted for a first look at candidates.
+PATCH = 32
 
 _GAP = 2 * RUN + WINDOW
 _SLICE = 1 << 15
@@ -143,13 +152,13 @@ class Items:
             order = np.argsort(own, kind="stable")
             bitmap = np.zeros(1 << 20, bool)
             bitmap[(own >> np.uint64(44)).astype(np.int64)] = True
-            tables.append((own[order], starts[order], bitmap))
+            tables.append((own[order], starts[order].astype(np.int32), bitmap))
         return cls([p[0] for p in pairs], seq, np.array(first, np.int64), np.array(size, np.int64), tables)
 
-    def meetings(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of window starts, in ``seq`` and in the items, that share a key; each once."""
+    def meetings(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of window starts, in ``seq`` and in the items, that share keys, and how many they share."""
         n = len(seq) - WINDOW
-        doc, item = [], []
+        both = []
         for lo in range(0, max(n, 0), _SLICE):
             hi = min(lo + _SLICE, n)
             for k, keys in embedding_keys(seq, lo, hi):
@@ -162,92 +171,117 @@ class Items:
                 count = np.searchsorted(known, keys[near], "right") - left
                 met = count > 0
                 near, left, count = near[met], left[met], count[met]
-                doc.append(np.repeat(near + lo, count))
                 offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                item.append(starts[np.repeat(left, count) + offset])
-        if not doc:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.concatenate(doc).astype(np.int64) * np.int64(len(self.seq)) + np.concatenate(item))
-        return both // len(self.seq), both % len(self.seq)
+                both.append(np.repeat(near + lo, count).astype(np.int64) * np.int64(len(self.seq)) + starts[np.repeat(left, count) + offset])
+        if not both:
+            return (np.empty(0, np.int64),) * 3
+        both, keys = np.unique(np.concatenate(both), return_counts=True)
+        return both // len(self.seq), both % len(self.seq), keys
 
     def verified(self, seq: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
         """(text number, item number) of all leaks in ``seq``, whose texts begin at ``starts`` with gaps between."""
-        p, q = self.meetings(seq)
-        found: set[tuple[int, int]] = set()
+        p, q, keys = self.meetings(seq)
         if not len(p):
-            return found
+            return set()
         text = np.searchsorted(starts, p, "right") - 1
         item = np.searchsorted(self.first, q, "right") - 1
-        # Places of a text where an item may lie, in steps of two windows; a candidate's meetings may fall on either side of a border.
-        place = (p - q + len(self.seq)) // (2 * WINDOW)
-        places = int(place.max()) + 3
-        near = np.zeros(len(p), np.int64)
+        many = np.int64(len(self.ids))
+        runs = self._runs(seq, p, q, keys)
+        pairs = np.unique(text[runs] * many + item[runs])
+        found = {(int(x // many), int(x % many)) for x in pairs}
+        # The rest: bands of diagonals, twice over so that no border cuts all of one.
+        n = self.size[item]
+        open_ = (n >= LEAST) & ~np.isin(text * many + item, pairs)
+        text, item, keys, n = text[open_], item[open_], keys[open_], n[open_]
+        diagonal = p[open_] - (q[open_] - self.first[item])
+        if not len(text):
+            return found
+        least, bands = diagonal.min(), (int(np.ptp(diagonal)) + 2 * int(n.max())) // LEAST + 2
+        places = []
+        wide = int(np.ptp(diagonal)) + 1
         for shift in (0, 1):
-            group = item * places + (place + shift) // 2  # the place tells the text, but for neighbours
-            _, group = np.unique(group, return_inverse=True)
-            one = np.unique(group * np.int64(len(self.seq)) + q) // len(self.seq)
-            near = np.maximum(near, np.bincount(one, minlength=len(p))[group])
-        enough = np.clip(1 + (self.size - WINDOW + 1) // (RUN - WINDOW + 1), 1, MEETINGS)  # by item
-        kept = near >= enough[item]
-        p, q, text, item = p[kept], q[kept], text[kept], item[kept]
-        if not len(p):
+            code = (text * many + item) * bands + (diagonal - least + shift * (n // 2)) // n
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            at = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
+            one = order[at]
+            kept = np.add.reduceat(keys[order], at) >= np.maximum(1, MET * n[one] - ALLOWED)
+            near, far = np.minimum.reduceat(diagonal[order], at)[kept], np.maximum.reduceat(diagonal[order], at)[kept]
+            one = one[kept]
+            places.append(((text[one] * many + item[one]) * wide + near - least) * (int(n.max()) + 1) + far - near)
+        code, far = np.divmod(np.unique(np.concatenate(places)), int(n.max()) + 1)
+        code, near = np.divmod(code, wide)
+        t, k = np.divmod(code, many)
+        if not len(t):
             return found
-        longest = np.zeros(len(p), np.int16)
-        for a in range(0, len(p), 50_000):  # bounded memory
-            i, j = p[a : a + 50_000], q[a : a + 50_000]
-            run = np.zeros(len(i), np.int16)
-            best = np.zeros(len(i), np.int16)
-            for off in range(-RUN, RUN + WINDOW):
-                x = seq[np.clip(i + off, 0, len(seq) - 1)]
-                same = (x == self.seq[np.clip(j + off, 0, len(self.seq) - 1)]) & (x != 0)
-                run = np.where(same, run + 1, 0)
-                np.maximum(best, run, out=best)
-            longest[a : a + 50_000] = best
-        found.update(zip(text[longest >= RUN].tolist(), item[longest >= RUN].tolist()))
-        # The rest: once per place, where an item of that size may lie.
-        diagonal = (p - (q - self.first[item])) // (2 * WINDOW)
-        least = diagonal.min()  # below 0 where the first text lacks an item's beginning
-        many = np.int64(len(self.ids)), diagonal.max() - least + 1
-        codes = np.unique((text * many[0] + item) * many[1] + diagonal - least)
-        t, k, d = codes // many[1] // many[0], codes // many[1] % many[0], codes % many[1] + least
+        near = near + least
+        far = far + near
         n = self.size[k]
         need = np.maximum(LEAST, np.ceil(SHARE * n - 1e-9).astype(np.int64))
-        lo = np.maximum(d * 2 * WINDOW - n // 4, starts[t])
-        hi = np.minimum(d * 2 * WINDOW - n // 4 + (STRETCH * n).astype(np.int64) + 2 * WINDOW, starts[t + 1])
-        short = enough[k] < MEETINGS
-        span = (STRETCH * n).astype(np.int64)
-        hi = np.where(short, np.minimum(hi + n // 4, starts[t + 1]), hi)
-        open_ = np.array([pair not in found for pair in zip(t.tolist(), k.tolist())], bool) & (n >= need)
-        for c in self._may(seq, k, lo, hi, need, np.flatnonzero(open_)).tolist():
+        lo, hi = np.maximum(near - n // 2, starts[t]), np.minimum(far + n + n // 2 + WINDOW, starts[t + 1])
+        for c in self._may(seq, starts, t, lo, hi, k, need).tolist():
             pair = int(t[c]), int(k[c])
-            own = self.seq[self.first[k[c]] : self.first[k[c]] + n[c]]
-            # Of a short item the place is wide against its stretch, so each stretch is looked at.
-            stretches = [(a, min(a + span[c], hi[c])) for a in range(lo[c], max(lo[c] + 1, hi[c] - need[c] + 1))] if short[c] else [(lo[c], hi[c])]
-            if pair not in found and any(common(own, seq[a:b]) >= need[c] for a, b in stretches):
+            if pair not in found and self._within(seq, int(k[c]), int(lo[c]), int(hi[c]), int(need[c])):
                 found.add(pair)
         return found
 
-    def _may(self, seq: np.ndarray, k: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """Of the candidates ``among``, those of whose item enough words are in the stretch, in whatever order. Words are told apart by 12 bits, so none is missed."""
-        kept = []
-        among = among[np.argsort(self.size[k[among]], kind="stable")]  # alike in length, so little is padded
-        while len(among):
-            rows = max(1, min(2_000, 2_000_000 // max(int((hi - lo)[among[-1]]), 4_096)))
-            part, among = among[:rows], among[rows:]
-            r = np.arange(len(part))
-            there = np.zeros((len(part), 4_097), bool)
-            for i in range(int((hi - lo)[part].max())):
-                at = lo[part] + i
-                x = seq.take(np.minimum(at, len(seq) - 1)) >> np.uint64(52)
-                there[r, np.where(at < hi[part], x.view(np.int64), 4_096)] = True
-            there[:, 4_096] = False
-            size, first = self.size[k[part]], self.first[k[part]]
-            count = np.zeros(len(part), np.int64)
-            for i in range(int(size.max())):
-                x = self.seq.take(np.minimum(first + i, len(self.seq) - 1)) >> np.uint64(52)
-                count += there[r, np.where(i < size, x.view(np.int64), 4_096)]
-            kept.append(part[count >= need[part]])
-        return np.concatenate(kept) if kept else among
+    def _runs(self, seq: np.ndarray, p: np.ndarray, q: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Meetings that begin ``RUN`` equal words: so many windows in a row that share all keys, and their words."""
+        at = np.flatnonzero(keys == WALKS * KEYS)
+        for i in range(WINDOW):
+            at = at[seq[p[at] + i] == self.seq[q[at] + i]]
+        at = at[np.lexsort((p[at], p[at] - q[at]))]
+        further = RUN - WINDOW
+        if len(at) <= further:
+            return at[:0]
+        a, b = at[:-further], at[further:]
+        return a[(p[b] - q[b] == p[a] - q[a]) & (p[b] - p[a] == further)]
+
+    def _may(self, seq: np.ndarray, starts: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Candidates of whose item enough words are in the text, and then in the stretch or close to it, in whatever order. Words are told apart by 12 bits, so none is missed."""
+        codes = (seq >> np.uint64(52)).view(np.int64)
+        kept = np.arange(len(k))
+        for unit, first, last in ((np.searchsorted(starts, np.arange(len(seq)), "right") - 1, t, t), (np.arange(len(seq)) // PATCH, lo // PATCH, np.maximum(hi - 1, lo) // PATCH)):
+            if not len(kept):
+                break
+            first, last = first[kept], last[kept]
+            # Rows for the units that candidates have, and which words are in them.
+            marks = np.zeros(int(unit[-1]) + 2, np.int64)
+            np.add.at(marks, first, 1)
+            np.add.at(marks, last + 1, -1)
+            used = np.cumsum(marks) > 0
+            row = np.cumsum(used) - 1
+            there = np.zeros((int(row[-1]) + 1, 4_096), bool)
+            own = used[unit] & (seq != 0)
+            there[row[unit[own]], codes[own]] = True
+            kept = kept[self._enough(there, row[first], row[last], k[kept], need[kept])]
+        return kept
+
+    def _enough(self, there: np.ndarray, first: np.ndarray, last: np.ndarray, k: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which candidates find ``need`` of the words of item ``k`` in rows ``first`` to ``last`` of ``there``."""
+        codes, kept = (self.seq >> np.uint64(52)).view(np.int64), [np.empty(0, np.int64)]
+        for a in range(0, len(k), 4_000):  # bounded memory
+            own = slice(a, a + 4_000)
+            size = self.size[k[own]]
+            begin = np.cumsum(size) - size
+            word = codes[np.arange(size.sum()) + np.repeat(self.first[k[own]] - begin, size)]
+            row, end = np.repeat(first[own], size), np.repeat(last[own], size)
+            seen = there[row, word]
+            for i in range(1, int((end - row).max()) + 1):
+                seen |= there[np.minimum(row + i, end), word]
+            kept.append(a + np.flatnonzero(np.add.reduceat(seen, begin, dtype=np.int64) >= need[own]))
+        return np.concatenate(kept)
+
+    def _within(self, seq: np.ndarray, k: int, lo: int, hi: int, need: int) -> bool:
+        """Whether ``need`` words of the item are in order within one stretch of ``seq[lo:hi]``."""
+        own = self.seq[self.first[k] : self.first[k] + self.size[k]]
+        if common(own, seq[lo:hi]) < need:
+            return False
+        part, span = seq[lo:hi], int(STRETCH * self.size[k])
+        at = np.flatnonzero(np.isin(part, own))
+        # A stretch begins with one of the item's words; of those that hold enough of them each is looked at.
+        ends = np.searchsorted(at, at + span)
+        return any(common(own, part[at[i] : at[i] + span]) >= need for i in np.flatnonzero(ends - np.arange(len(at)) >= need).tolist())
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -346,7 +380,7 @@ def _formula_runs(documents: DataFrame, pairs: list[tuple]) -> W.Lookup:
     runs = Runs.of(pairs)
     if not len(runs.lookup):
         return runs.lookup
-    known = documents.sparkSession.sparkContext.broadcast(runs)  # of at most BLOCK items
+    known = documents.sparkSession.sparkContext.broadcast(runs)  # of at most FORMULA_BLOCK characters, or one item
     fields = ("again", "published", "tie", "root", "occasion")
     schema = pa.struct([*[(f, pa.int64()) for f in fields], ("words", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
@@ -384,13 +418,11 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     apart = _told_apart(documents, doc_id, text)
     given = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
     types = _arrow(docs, doc_id), _arrow(given, item_id)
-    out: DataFrame | None = None
-    block: list[tuple] = []
+    schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
+    send = documents.sparkSession.sparkContext.broadcast
 
-    def one(pairs: list[tuple]) -> DataFrame:
-        ready = documents.sparkSession.sparkContext.broadcast(Items.of(pairs, formulas := _formula_runs(apart, pairs)))
-        runs = documents.sparkSession.sparkContext.broadcast(formulas)
-        schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
+    def one(pairs: list[tuple], formulas: W.Lookup) -> DataFrame:
+        ready, runs = send(Items.of(pairs, formulas)), send(formulas)  # of at most BLOCK characters, or one item
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, formulas = ready.value, runs.value
@@ -405,16 +437,30 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
         return docs.mapInArrow(search, schema)
 
-    for row in given.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            out = one(block) if out is None else out.unionByName(one(block))
-            block = []
-    if block or out is None:
-        out = one(block) if out is None else out.unionByName(one(block))
+    parts: list[DataFrame] = []
+    for group in _blocks(given.toLocalIterator(), FORMULA_BLOCK):
+        formulas = _formula_runs(apart, group)  # one pass for several blocks
+        parts += [one(block, formulas) for block in _blocks(group, BLOCK)]
+    out = parts[0] if parts else one([], W.Lookup(np.empty(0, np.uint64)))
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.distinct()
 
 
+def _blocks(rows: Iterable[tuple], most: int) -> Iterator[list[tuple]]:
+    """(id, text) pairs in lists of at most ``most`` characters; a longer text stands alone."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        if held and size + len(row[1]) > most:
+            yield held
+            held, size = [], 0
+        held.append((row[0], row[1]))
+        size += len(row[1])
+    if held:
+        yield held
+
+
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -69,6 +69,37 @@ def test_recall_of_edited_passages(kind, recall):
     assert len(found) <= len(items)  # and nothing else
 
 
+@pytest.mark.parametrize("sizes", [(12, 20), (20, 45), (45, 120)])
+@pytest.mark.parametrize("kind", ["evenly out", "randomly out", "evenly changed", "randomly changed", "one after two"])
+def test_recall_at_the_least_share(kind, sizes):
+    """70 % of the words kept, or all of them and another after every second: at least nine of ten are found, and nothing else."""
+    rng = np.random.default_rng(sizes[0])
+    words = [f"w{i}" for i in range(3_000)]
+    often = 1 / (np.arange(3_000) + 2.0)  # some words are everywhere
+    some = lambda n: list(rng.choice(words, n, p=often / often.sum()))
+    items = [some(int(n)) for n in rng.integers(*sizes, 100)]
+    docs = []
+    for w in items:
+        n, w = len(w), list(w)
+        k = n - max(L.LEAST, -(-7 * n // 10))
+        at = set(((np.arange(k) + 0.5) * n / max(k, 1)).astype(int).tolist() if kind.startswith("evenly") else rng.permutation(n)[:k].tolist())
+        if kind.endswith("out"):
+            w = [x for i, x in enumerate(w) if i not in at]
+        elif kind.endswith("changed"):
+            w = ["zz" if i in at else x for i, x in enumerate(w)]
+        else:
+            w = [y for i, x in enumerate(w) for y in ([x, "zz"] if i % 2 else [x])]
+        docs.append(" ".join(some(60) + w + some(60)))
+    ready = L.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], W.Lookup(np.empty(0, np.uint64)))
+    seq, starts = W.joined(docs, L._GAP)
+    found = ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts)
+    assert sum((i, i) in found for i in range(100)) >= 90
+    for d, i in found - {(i, i) for i in range(100)}:  # only what the statement counts
+        own = [int(x) for x in W.ids(docs[d])]
+        n = len(items[i])
+        assert any(L.common(W.ids(" ".join(items[i])), np.array(own[a : a + int(L.STRETCH * n)], np.uint64)) >= max(L.LEAST, -(-7 * n // 10)) for a in range(len(own)))
+
+
 def test_table(spark):
     rng = np.random.default_rng(3)
     item, other = text(rng, 60), text(rng, 60)
@@ -95,7 +126,8 @@ def test_the_text_before_a_leak_is_not_blamed():
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK", 2)
+    monkeypatch.setattr(L, "BLOCK", 300)
+    monkeypatch.setattr(L, "FORMULA_BLOCK", 700)
     rng = np.random.default_rng(4)
     items = [text(rng, 40) for _ in range(5)]
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "doc_id long, text string")
@@ -140,7 +172,7 @@ def test_short_items(n):
     need = max(L.LEAST, -(-7 * n // 10))
     docs = [" ".join(text(rng, 20 + i % 16) + w + text(rng, 30)) for i, w in enumerate(items)]
     docs += [" ".join(text(rng, 20) + w[:need] + text(rng, 30)) for w in items]  # the most words missing at the end
-    docs += [" ".join(text(rng, 20) + [y for x in w for y in (x, "zz", "zz")] + text(rng, 30)) for w in items]  # a stretch three times too long
+    docs += [" ".join(text(rng, 20) + [y for x in w for y in (x, "zz", "zz", "zz")] + text(rng, 30)) for w in items]  # a stretch four times as long
     ready = L.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], W.Lookup(np.empty(0, np.uint64)))
     seq, starts = W.joined(docs, L._GAP)
     found = ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts)
