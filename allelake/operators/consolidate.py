@@ -1,8 +1,9 @@
 """Many small Parquet files into few well-sized ones, by copying encoded blocks.
 
-A task gets about one target size of files, copies their row groups byte for
-byte into one file per schema and writes a new footer with moved offsets;
-nothing is decoded. Each output file appears under its final name only when it
+Footers are read first; files are put together by size within their partition
+and schema. A task copies the row groups of about one target size of files byte
+for byte into one file and writes a new footer with moved offsets; nothing is
+decoded. Each output file appears under its final name only when it
 is whole, and its name depends on its inputs alone, so a retried task replaces
 its own file. Row, block and byte totals are compared at the end.
 """
@@ -14,10 +15,10 @@ import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from allelake.session import scratch_path
+from allelake.session import scratch_path, task_count, written
 from allelake.sources import footer as P
 from allelake.sources.files import open_uri
 
@@ -75,56 +76,97 @@ class _Output:
 
 
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length`` of the Parquet files below a folder (or of one file). Contents aren't read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    """``path, length, partition`` of the Parquet files below a folder (or of one file); ``partition`` is the path of its ``name=value`` folders. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    above = sum("=" in part for part in folder.rstrip("/").split("/"))  # those lead to the table
+    named = F.filter(F.split("path", "/"), lambda p: F.contains(p, F.lit("=")) & ~p.endswith(".parquet"))
+    return found.select("path", "length", F.array_join(F.slice(named, above + 1, F.greatest(F.size(named) - above, F.lit(0))), "/").alias("partition"))
+
+
+_FOOTERS = "path string, length long, partition string, schema string, rows long, blocks long"
+
+
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Schema key, rows and blocks of each file, from its footer."""
+    for pdf in batches:
+        out = []
+        for path, length, partition in pdf[["path", "length", "partition"]].itertuples(index=False, name=None):
+            meta = _meta(path)
+            out.append((path, length, partition, hashlib.sha256(P.schema_key(meta)).hexdigest(), meta[P.ROWS][1], len(meta[P.GROUPS][1][1]) if P.GROUPS in meta else 0))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOOTERS.split(", ")])
+
+
+def _meta(path: str) -> dict:
+    system, at = open_uri(path)
+    with system.open_input_file(at) as source:
+        try:
+            return P.read_footer(source, source.size())
+        except (ValueError, IndexError) as e:
+            raise ValueError(f"{path}: {e}") from e
+
+
+def planned(files: DataFrame, target: int = TARGET) -> DataFrame:
+    """Files with their footers' facts and ``__bin``: in the order of partition, schema and path, about ``target`` bytes a bin."""
+    spark = files.sparkSession
+    if "partition" not in files.columns:
+        files = files.withColumn("partition", F.lit(""))
+    files = files.where(F.col("path").isNotNull()).select("path", "length", "partition").distinct()
+    order = ("partition", "schema", "path")
+    read = written(files.repartition(4 * task_count(spark), "path").mapInPandas(_footers, _FOOTERS), "footers")
+    ranged = written(read.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "order")
+    part = F.shiftright("__at", 33)
+    within = Window.partitionBy(part).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part.alias("__p")).agg(F.sum("length").alias("__size"))
+    before = sizes.select("__p", F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row per partition of the listing
+    placed = ranged.withColumns({"__own": F.coalesce(F.sum("length").over(within), F.lit(0)), "__p": part}).join(F.broadcast(before), "__p")
+    return placed.withColumn("__bin", F.floor((F.col("__before") + F.col("__own")) / F.lit(target)).cast("int")).drop("__p", "__before", "__own", "__at")
 
 
 def consolidate(files: DataFrame, into: str, target: int = TARGET) -> DataFrame:
-    """Copy the blocks of ``files`` (``path, length``) into few files below ``into`` and return what was written.
+    """Copy the blocks of ``files`` (``path, length`` and, of partitioned tables, ``partition``) into few files below ``into`` and return what was written.
 
     One row per output file: ``path, rows, blocks, bytes, inputs, input_rows,
-    input_blocks``. Files of different schemas never share an output; a path
-    listed twice is taken once; files without rows add nothing; an empty listing
-    writes nothing. Raises if a file is no plain Parquet file or any total differs.
+    input_blocks``. Files of different schemas or partitions never share an output;
+    partitions keep their folders, so a reader gets their columns back. Files are
+    put together by size within partition and schema, so outputs are about
+    ``target`` bytes and, beside one for each partition and schema, not more than
+    that needs. A task has one output open at a time. A path listed twice is taken
+    once; files without rows add nothing; an empty listing writes nothing. Raises if
+    a file is no plain Parquet file or any total differs from that of the footers.
     """
     spark = files.sparkSession
-    files = files.where(F.col("path").isNotNull()).select("path", "length").distinct()
-    total, number = files.agg(F.sum("length"), F.count(F.lit(1))).first()
-    bins = max(1, min(number or 1, round((total or 0) / target)))
-    placed = files.repartition(bins, F.xxhash64("path")).sortWithinPartitions("path")
+    plan = written(planned(files, target), "plan")
+    number, rows, blocks, bins = plan.agg(F.count(F.lit(1)), F.sum("rows"), F.sum("blocks"), F.max("__bin")).first()
+    placed = plan.repartitionById((bins or 0) + 1, F.col("__bin")).sortWithinPartitions("partition", "schema", "path")
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        outputs: dict[bytes, _Output] = {}
-        done = []
+        output, held, done = None, None, []
         for pdf in batches:
-            for path in pdf["path"]:
+            for path, partition, schema in pdf[["path", "partition", "schema"]].itertuples(index=False, name=None):
+                meta = _meta(path)
+                if output is not None and held != (partition, schema):
+                    done.append(output.close())
+                    output = None
+                if output is None:
+                    held, folder = (partition, schema), f"{into}/{partition}" if partition else into
+                    output = _Output(folder, meta, "part-" + hashlib.sha256(f"{schema}{path}".encode()).hexdigest()[:32])
                 system, at = open_uri(path)
                 with system.open_input_file(at) as source:
-                    try:
-                        meta = P.read_footer(source, source.size())
-                    except (ValueError, IndexError) as e:
-                        raise ValueError(f"{path}: {e}") from e
-                    key = P.schema_key(meta)
-                    if key in outputs and outputs[key].size > 1.5 * target:
-                        done.append(outputs.pop(key).close())
-                    if key not in outputs:
-                        outputs[key] = _Output(into, meta, "part-" + hashlib.sha256(key + path.encode()).hexdigest()[:32])
-                    outputs[key].append(source, meta)
-        done += [o.close() for o in outputs.values()]
+                    output.append(source, meta)
+        if output is not None:
+            done.append(output.close())
         yield pd.DataFrame(done, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
-    report = placed.mapInPandas(copy, _SCHEMA).collect()  # a row per well-sized file
+    report = placed.select("path", "partition", "schema").mapInPandas(copy, _SCHEMA).collect()  # a row per well-sized file
     wrong = [r for r in report if r["problem"]]
-    if wrong or sum(r["inputs"] for r in report) != (number or 0):
-        raise RuntimeError(f"consolidation failed its check: {wrong[:3]}")
+    found = tuple(sum(r[c] for r in report) for c in ("inputs", "rows", "blocks"))
+    if wrong or found != (number, rows or 0, blocks or 0):
+        raise RuntimeError(f"consolidation failed its check: {wrong[:3]}, {found} of {(number, rows, blocks)} files, rows and blocks")
     return spark.createDataFrame([tuple(r)[:-1] for r in report], _SCHEMA.rpartition(", ")[0])
 
 
 def consolidated(spark: SparkSession, folder: str, target: int = TARGET) -> DataFrame:
-    """The table below ``folder``, read from well-sized files written into the shared folder."""
+    """The table below ``folder``, partition columns included, read from well-sized files written into the shared folder."""
     into = scratch_path(spark, "consolidated")
     report = consolidate(listed_files(spark, folder), into, target)
-    paths = [r["path"] for r in report.select("path").collect()]
-    if not paths:
-        return spark.read.parquet(folder)
-    return spark.read.option("mergeSchema", "true").parquet(*paths)
+    return spark.read.parquet(folder) if report.isEmpty() else spark.read.option("mergeSchema", "true").parquet(into)

@@ -79,11 +79,21 @@ def redelivered(listing: DataFrame, rows: DataFrame, file: str, name: str, recor
 
 
 def once(rows: DataFrame, record: Sequence[str], order: str) -> DataFrame:
-    """One row per record, the one with the smallest ``order`` (unique); all columns are kept.
+    """One row per record, the one with the smallest ``order``; all columns are kept.
 
-    Ids of kept rows are found on hashes alone and joined back, so wide rows
-    aren't shuffled for the search. Rows with a null ``order`` are left out.
+    A null ``order`` comes last; of rows that are equal in ``order`` too, any one is
+    kept. Nulls in record columns equal each other. Repeated records are found on
+    hashes and ``order`` alone; wide rows only meet the repeated ones: where those
+    are few Spark broadcasts them, else rows are shuffled once, by record.
     """
     h1, h2 = record_key(rows, record)
-    keep = rows.where(F.col(order).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.col(order).alias("__keep")).groupBy("h1", "h2").agg(F.min("__keep").alias("__keep"))
-    return rows.join(keep.select("__keep"), F.col(order) == F.col("__keep"), "left_semi")
+    narrow = rows.select(h1.alias("__h1"), h2.alias("__h2"), F.col(order).alias("__keep")).groupBy("__h1", "__h2", "__keep").agg(F.count(F.lit(1)).alias("__n"))
+    first = F.min(F.struct(F.col("__keep").isNull().alias("none"), "__keep", "__n"))
+    repeated = narrow.groupBy("__h1", "__h2").agg(F.sum("__n").alias("__all"), first.alias("__first")).where("__all > 1")
+    repeated = written(repeated.select("__h1", "__h2", "__first.__keep", "__first.__n"), "repeated")
+    met = rows.withColumns({"__h1": h1, "__h2": h2}).join(repeated, ["__h1", "__h2"], "left")
+    own = F.col(order).eqNullSafe(F.col("__keep"))
+    out = met.where(F.col("__n").isNull() | (own & (F.col("__n") == 1))).select(*rows.columns)
+    if repeated.where("__n > 1").isEmpty():
+        return out
+    return out.unionByName(met.where(own & (F.col("__n") > 1)).dropDuplicates(["__h1", "__h2"]).select(*rows.columns))

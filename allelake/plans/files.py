@@ -37,7 +37,15 @@ def p1_consolidate(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p1_found": p1_found, "p1_once": p1_once, "p1_consolidate": p1_consolidate}
+def p1_partitioned(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of many tiny files in folders by contig, consolidated: all rows and the folders' column."""
+    path = scratch_path(spark, "tiny")
+    rows = table(spark, folder, "data_array").where("contig <> ''").select("row_id", "contig", "start_pos", "sample")
+    rows.repartition(16, "row_id").write.partitionBy("contig").parquet(path)
+    return consolidated(spark, path).select("row_id", "contig", "start_pos", "sample")
+
+
+QUERIES = {"p1_found": p1_found, "p1_once": p1_once, "p1_consolidate": p1_consolidate, "p1_partitioned": p1_partitioned}
 
 SQL = {
     "p1_found": """
@@ -49,6 +57,7 @@ with r as (select distinct uri_id, contig, start_pos, end_pos, sample, alleles f
 select least(a, b) as uri_id_1, greatest(a, b) as uri_id_2 from c where a in (select uri_id from sample_uris) and b in (select uri_id from sample_uris)
 union
 select a.uri_id, b.uri_id from sample_uris a join sample_uris b on a.uri = b.uri and a.uri_id < b.uri_id""",
+    "p1_partitioned": "select row_id, contig, start_pos, sample from data_array where contig <> ''",
     "p1_once": """
 select row_id, uri_id, contig, start_pos, end_pos, sample from data_array
 where row_id in (select min(row_id) from data_array group by contig, start_pos, end_pos, sample, alleles)""",

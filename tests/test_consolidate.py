@@ -91,3 +91,27 @@ def test_nulls_within_arrays_make_other_records(spark):
     df = spark.createDataFrame(data, "row_id long, f long, c string, p int, a array<string>")
     assert rows(once(df, RECORD, "row_id"), "row_id") == [(i,) for i in range(1, 7)]
     assert rows(contained_files(df, "f", RECORD), "inner", "outer") == [(1, 7), (7, 1)]
+
+
+def test_partition_folders_are_kept(spark, tmp_path):
+    base = tmp_path / "batch=3" / "table"  # a folder above the table is no partition of it
+    df = spark.range(300).selectExpr("id", "id % 4 as k", "concat('a b/', id % 3) as name", "cast(null as string) as empty")
+    df.repartition(5).write.partitionBy("k", "name").parquet(str(base))
+    got = consolidated(spark, str(base), target=1 << 20)
+    assert len(got.inputFiles()) == 12 and rows(got, "id", "k", "name", "empty") == rows(df.selectExpr("id", "cast(k as int) k", "name", "empty"))
+
+
+def test_outputs_are_sized_within_a_schema(spark, tmp_path):
+    d = small_files(tmp_path, 60)
+    for i in range(30):
+        pq.write_table(pa.table({"id": list(range(20)), "other": [str(i)] * 20}), d / f"a{i:02}.parquet")
+    total = sum(f.stat().st_size for f in d.glob("*"))
+    report = consolidate(listed_files(spark, str(d)), str(tmp_path / "o"), target=total // 8).collect()
+    assert len(report) <= 8 + 2 and all(r["bytes"] <= 1.3 * total / 8 for r in report) and sum(r["inputs"] for r in report) == 90
+
+
+def test_once_with_null_and_equal_order(spark):
+    df = spark.createDataFrame([(None, "a", 1), (5, "a", 2), (None, "b", 3), (None, "b", 4), (7, "c", 5), (7, "c", 5), (None, "d", 6), (8, None, 7), (9, None, 8)], "o int, c string, x int")
+    got = rows(once(df, ["c"], "o"))
+    assert [r for r in got if r[1] != "b"] == sorted([(5, "a", 2), (7, "c", 5), (None, "d", 6), (8, None, 7)], key=repr) and len(got) == 5
+    assert once(df.limit(0), ["c"], "o").count() == 0
