@@ -21,8 +21,9 @@ def _parts(c: Column) -> tuple[Column, Column, Column]:
 def is_whole(c: Column) -> Column:
     """Whether a string is a whole number in decimal notation, judged on its digits: ``2.50e1`` is, ``2.5`` isn't. Exponents beyond 64 bits give false."""
     digits, fraction, exponent = _parts(c)
+    plain = c.rlike("^[+-]?[0-9]+$")  # the most of them
     zeros = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
-    return is_decimal(c) & F.coalesce((F.rtrim(digits, F.lit("0")) == "") | (zeros >= fraction - exponent), F.lit(False))
+    return F.when(plain, True).otherwise(is_decimal(c) & F.coalesce((F.rtrim(digits, F.lit("0")) == "") | (zeros >= fraction - exponent), F.lit(False)))
 
 
 def one_spelling(c: Column) -> Column:
@@ -31,4 +32,6 @@ def one_spelling(c: Column) -> Column:
     core = F.rtrim(digits, F.lit("0"))
     power = exponent - fraction + F.length(digits) - F.length(core)
     bare = F.ltrim(core, F.lit("0"))
-    return F.when(bare == "", F.lit("0")).otherwise(F.concat(F.when(F.regexp_extract(c, DECIMAL, 1) == "-", "-").otherwise(""), bare, F.lit("e"), power.cast("string")))
+    cut = F.rtrim(c, F.lit("0"))
+    plain = F.concat(cut, F.lit("e"), (F.length(c) - F.length(cut)).cast("string"))  # the most of them
+    return F.when(c.rlike("^[1-9][0-9]*$"), plain).when(bare == "", F.lit("0")).otherwise(F.concat(F.when(F.regexp_extract(c, DECIMAL, 1) == "-", "-").otherwise(""), bare, F.lit("e"), power.cast("string")))

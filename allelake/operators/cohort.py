@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import combinations_with_replacement
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,7 +44,7 @@ def merge_alleles(records: Sequence[Sequence[str]]) -> tuple[list[str], list[lis
 
 
 def spread(values: Sequence[str], number: str, to: Sequence[int], total: int) -> list[str]:
-    """Values per allele (``R``), alternate (``A``) or genotype (``G``) at their cohort places, ``.`` elsewhere."""
+    """Values per allele (``R``), alternate (``A``) or genotype (``G``, of any ploidy) at their cohort places, ``.`` elsewhere. A number of values that no ploidy has gives a lone ``.``."""
     if number == "R":
         out = ["."] * total
         for v, t in zip(values, to):
@@ -52,20 +54,28 @@ def spread(values: Sequence[str], number: str, to: Sequence[int], total: int) ->
         for v, t in zip(values, to[1:]):
             out[t - 1] = v
     else:
-        out = ["."] * (total * (total + 1) // 2)
-        pairs = [(j, k) for k in range(len(to)) for j in range(k + 1)]
-        if len(values) <= len(to) < len(pairs):  # haploid: one value per allele
-            pairs = [(j, j) for j in range(len(to))]
-            out = ["."] * total
-            for v, t in zip(values, to):
-                out[t] = v
-            return out
-        for v, (j, k) in zip(values, pairs):
-            a, b = sorted((to[j], to[k]))
-            out[b * (b + 1) // 2 + a] = v
+        # Ploidy follows from the number of values; 2 where several fit (a single allele).
+        ploidy = next((n for n in (2, 1, *range(3, 17)) if comb(len(to) + n - 1, n) == len(values)), None)
+        if ploidy is None:
+            return ["."]
+        out = ["."] * comb(total + ploidy - 1, ploidy)
+        for own in combinations_with_replacement(range(len(to)), ploidy):
+            out[genotype_place(sorted(to[a] for a in own))] = values[genotype_place(own)]
     return out
 
 
+def genotype_place(alleles: Sequence[int]) -> int:
+    """Place of a genotype (allele numbers in ascending order, any ploidy) in lists with one value per genotype."""
+    return sum(comb(a + i, i + 1) for i, a in enumerate(alleles))
+
+
+def _whole(text: str | None) -> int | None:
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        return None
+
+
 def merge_records(records: Sequence[Mapping], numbers: Mapping[tuple[str, str], str]) -> dict:
     """One cohort record from records of different samples at a position. ``numbers``: the declared Number by (blob, field)."""
     alleles, maps = merge_alleles([r["alleles"] for r in records])
@@ -82,10 +92,12 @@ def merge_records(records: Sequence[Mapping], numbers: Mapping[tuple[str, str],
             number = numbers.get(("info", key), ".")
             if key in ("AC", "AN"):
                 continue
-            if key == "END":
-                info[key] = str(max(int(info.get(key, 0)), int(value))) if value.isdigit() else info.get(key, value)
-            elif key == "DP":
-                info[key] = str(int(info.get(key, 0)) + int(value)) if value.lstrip("-").isdigit() else info.get(key, value)
+            if key in ("END", "DP"):  # of those that are numbers the greatest, or the sum
+                old, new = _whole(info.get(key)), _whole(value)
+                if new is not None:
+                    info[key] = str(new if old is None else max(old, new) if key == "END" else old + new)
+                else:
+                    info.setdefault(key, value)
             elif number in ("A", "R", "G"):
                 new = spread(value.split(","), number, to, total)
                 old = info[key].split(",") if key in info else ["."] * len(new)

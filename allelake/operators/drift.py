@@ -400,20 +400,28 @@ def canonical_names(changes: DataFrame, most: int = 200_000) -> dict[tuple[str,
 
 
 def consistent(rows: DataFrame, changes: DataFrame, key: str, blobs: Sequence[str] = ("info", "fmt")) -> DataFrame:
-    """``key`` and each blob as a map from canonical name to text, whatever a file called the field.
+    """``key`` and each blob as a map from canonical name to text, whatever a file called the field, with what that map can't hold beside it.
 
     The renames of all scripts are compiled into one projection. Flags have the
-    value ``1``; of several spellings of a field in one row the last counts;
-    null, empty and ``.`` blobs give an empty map.
+    value ``1``; of several spellings of a field in one row the last counts, and the
+    others' differing values stand in ``<blob>_clashes`` as sorted ``name=value``
+    texts; null, empty and ``.`` blobs give an empty map.
     """
+    from allelake.sources.vcf import map_of
+
     names = canonical_names(changes)
     table = {b: F.from_json(F.lit(json.dumps({old: new for (blob, old), new in names.items() if blob == b and old != new})), "map<string,string>") for b in blobs}
 
-    def one(b: str):
+    def entries(b: str):
         parts = F.filter(F.split(F.coalesce(F.col(b), F.lit("")), ";"), lambda p: ~F.trim(p).isin("", "."))
-        entries = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise("1").alias("v")))
-        renamed = F.transform(entries, lambda e: F.struct(F.coalesce(F.element_at(table[b], e["k"]), e["k"]).alias("k"), e["v"].alias("v")))
-        last = F.filter(renamed, lambda e, i: ~F.exists(F.slice(renamed, i + 2, F.size(renamed)), lambda later: later["k"] == e["k"]))
-        return F.map_from_entries(F.filter(last, lambda e: e["k"].isNotNull())).alias(b)
-
-    return rows.select(key, *(one(b) for b in blobs))
+        own = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.when(F.instr(p, "=") > 0, F.substr(p, F.instr(p, "=") + 1)).otherwise("1").alias("v")))
+        return F.transform(own, lambda e: F.struct(F.coalesce(F.element_at(table[b], e["k"]), e["k"]).alias("k"), e["v"].alias("v")))
+
+    text = lambda es, k, v: F.transform(es, lambda e: F.concat(e[k], F.lit("="), e[v]))
+    # Each blob is taken apart once; the column is used for both results.
+    apart = rows.select(key, *(entries(b).alias(b) for b in blobs))
+    whole = apart.select(key, *blobs, *(map_of(F.col(b)).alias(f"__{b}") for b in blobs))
+    return whole.select(
+        key, *(F.col(f"__{b}").alias(b) for b in blobs),
+        *(F.when(F.size(b) > F.size(f"__{b}"), F.array_sort(F.array_except(text(b, "k", "v"), text(F.map_entries(f"__{b}"), "key", "value")))).otherwise(F.array().cast("array<string>")).alias(f"{b}_clashes") for b in blobs),
+    )

@@ -1,22 +1,25 @@
 """Entity-attribute-value rows into one wide, typed row per entity.
 
 Method: rows are partitioned by attribute into typed narrow tables (one folder
-each, one row an entity); those are co-partitioned by entity and combined by
-outer joins in a balanced tree. The tree's leaves join narrow tables to the
-spine of all entities: such joins keep the partitioning by entity, so the inner
-nodes need no shuffle, which chained full outer joins would.
+each, one row an entity), bucketed by entity as they are written; so they are
+co-partitioned once, and the outer joins of the balanced tree shuffle nothing.
+The tree's leaves join narrow tables to the spine of all entities, bucketed
+alike: such joins keep the partitioning by entity up to the root, which chained
+full outer joins wouldn't.
 """
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelake.functions.decimals import is_decimal, is_whole, one_spelling
-from allelake.session import scratch_path, written
+from allelake.session import scratch_path, task_count
 
 #: Narrow tables a leaf of the tree joins.
 LEAF = 4
@@ -47,12 +50,12 @@ def attributes(field_types: DataFrame, most: int = 5_000) -> list[Attribute]:
     """The declared attributes, in order. They become columns, so they must be few: more than ``most`` raise."""
     rows = field_types.select("blob_name", "attr", "vtype", "num").where("blob_name is not null and attr is not null").distinct().limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} attributes can't be columns")
+        raise ValueError(f"more than {most} attributes can't be columns; typed_cells gives them as rows, however many")
     return sorted((Attribute(r["blob_name"], r["attr"], r["vtype"] if r["vtype"] in TYPES else "String", r["num"] not in ("0", "1")) for r in rows), key=lambda a: (a.blob, a.name))
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def _typable(c: Column, kind: Column) -> Column:
@@ -72,17 +75,15 @@ def typed_cells(cells: DataFrame, attrs: Sequence[Attribute], entity: str) -> Da
     list such elements are missing ones. Unknown attributes are left out.
     """
     spark = cells.sparkSession
-    known = spark.createDataFrame([(a.blob, a.name, a.name.upper(), a.vtype, a.many, a.column) for a in attrs], "kb string, name string, ku string, kind string, many boolean, col string")
+    known = spark.createDataFrame([(a.blob, a.name, a.name.upper(), a.vtype, a.many, a.column) for a in attrs], "blob_name string, name string, spelled string, kind string, many boolean, col string")
     raw = F.upper(_trim(F.col("attr")))
-    bare = F.regexp_replace(raw, r"^(INFO|FMT)_\s*", "")
-    own = F.substring_index(raw, "_", 1) == F.upper("blob_name")
+    front = F.concat(F.upper("blob_name"), F.lit("_"))
+    bare = F.when(raw.startswith(front), _trim(F.substr(raw, F.length(front) + 1)))
     cells = cells.select(
-        F.col(entity).alias("entity"), "blob_name", F.col("cell_id").alias("cell_id"), F.col("loaded_at").alias("loaded_at"),
-        F.array(raw, F.when(own, bare)).alias("names"), _trim(F.col("cell_value")).alias("v"),
+        F.col(entity).alias("entity"), "blob_name", F.col("cell_id").alias("cell_id"), F.col("loaded_at").alias("loaded_at"), _trim(F.col("cell_value")).alias("v"),
+        F.inline(F.filter(F.array(F.struct(raw.alias("spelled"), F.lit(True).alias("exact")), F.struct(bare.alias("spelled"), F.lit(False).alias("exact"))), lambda s: s["spelled"].isNotNull())),
     ).where("entity is not null and v is not null and v not in ('', '.')")
-    on = (F.col("blob_name") == F.col("kb")) & F.array_contains("names", F.col("ku"))
-    # One row per declared attribute: attributes() refuses more than a few thousand.
-    found = cells.join(F.broadcast(known), on).withColumn("exact", (F.col("names")[0] == F.col("ku")))
+    found = cells.join(F.broadcast(known), ["blob_name", "spelled"])  # a row per declared attribute: at most what attributes() lets pass
     elements = F.when(F.col("many"), F.split("v", ",")).otherwise(F.array("v"))
     found = found.withColumn("x", F.transform(elements, lambda e: F.when(_trim(e).isin("", "."), None).otherwise(_trim(e))))
     found = found.where(F.exists("x", lambda e: e.isNotNull()))
@@ -111,13 +112,26 @@ def _value(a: Attribute) -> Column:
     return F.transform(F.split(text, ","), lambda e: one(F.when(e != ".", e)))
 
 
+def _bucketed(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written into the shared folder in buckets of ``entity``, shuffled once, with a folder per value of ``by``; read back as what it is."""
+    spark, n = df.sparkSession, task_count(df.sparkSession)
+    table_name, path = f"allelake_{name}_{uuid.uuid4().hex}", scratch_path(spark, name)
+    writer = df.repartition(n, "entity").write.format("parquet").option("path", path).option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).bucketBy(n, "entity").saveAsTable(table_name)
+    atexit.register(_drop, spark, table_name)
+    return spark.table(table_name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # the session may be gone already
+        pass
+
+
 def narrow_tables(cells: DataFrame, attrs: Sequence[Attribute], entity: str) -> dict[str, DataFrame]:
-    """A typed narrow table per attribute, by column name: ``entity, value, conflict, untypable``."""
-    spark = cells.sparkSession
-    typed = typed_cells(cells, attrs, entity)
-    path = scratch_path(spark, "narrow")
-    typed.write.partitionBy("col").option("compression", "zstd").parquet(path)
-    there = spark.read.schema(typed.schema).parquet(path)
+    """A typed narrow table per attribute, by column name: ``entity, value, conflict, untypable``; all in the same buckets of ``entity``."""
+    there = _bucketed(typed_cells(cells, attrs, entity), "narrow", "col")
     return {a.column: there.where(F.col("col") == a.column).select("entity", _value(a).alias("value"), "conflict", "untypable") for a in attrs}
 
 
@@ -132,7 +146,7 @@ def widen(cells: DataFrame, field_types: DataFrame, entity: str = "row_id", issu
     cells hold no value have a row of nulls. Empty tables give no rows.
     """
     attrs = attributes(field_types)
-    spine = written(cells.select(F.col(entity).alias("entity")).where("entity is not null").distinct(), "spine")
+    spine = _bucketed(cells.select(F.col(entity).alias("entity")).where("entity is not null").distinct(), "spine")
     narrow = narrow_tables(cells, attrs, entity)
 
     def leaf(group: Sequence[Attribute]) -> DataFrame:

@@ -24,11 +24,39 @@ def p4_wide(spark: SparkSession, folder: str) -> DataFrame:
     return widen(table(spark, folder, "attr_cells"), table(spark, folder, "field_types"), "row_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_wide": p4_wide}
+def p4_wide_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The wide table's cells that have a value, as rows again: numbers of Float columns, the text of others."""
+    types = table(spark, folder, "field_types")
+    wide = widen(table(spark, folder, "attr_cells"), types, "row_id")
+    cells = []
+    for a in attributes(types):
+        values = F.col(a.column) if a.many else F.array(a.column)
+        numbers = values.cast("array<double>") if a.vtype == "Float" else F.lit(None).cast("array<double>")
+        texts = F.lit(None).cast("array<string>") if a.vtype == "Float" else values.cast("array<string>")
+        cells.append(F.when(F.col(a.column).isNotNull(), F.struct(F.lit(a.column).alias("column_name"), numbers.alias("numbers"), texts.alias("texts"))))
+    return wide.select("row_id", F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+
+
+QUERIES = {"p4_found": p4_found, "p4_wide": p4_wide, "p4_wide_cells": p4_wide_cells}
 
 _NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
+_CELLS = f"""
+with c as (select a.cell_id, a.loaded_at, a.row_id, a.blob_name, f.attr, f.vtype, f.num, trim(a.cell_value) as v, upper(trim(a.attr)) = upper(f.attr) as exact
+           from attr_cells a join field_types f on a.blob_name = f.blob_name
+            and regexp_replace(upper(trim(a.attr)), '^' || upper(a.blob_name) || '_', '') = upper(f.attr)
+           where a.row_id is not null and trim(a.cell_value) not in ('', '.')),
+     e as (select *, list_transform(case when num in ('0', '1') then [v] else str_split(v, ',') end, lambda x: case when trim(x) in ('', '.') then null else trim(x) end) as xs from c),
+     k as (select *, len(list_filter(xs, lambda x: x is not null)) > 0 and len(list_filter(xs, lambda x: x is not null and not coalesce(case when vtype = 'String' then true when vtype = 'Flag' then x in ('0', '1')
+                   when vtype = 'Float' then regexp_matches(x, '{_NUMBER}') else regexp_matches(x, '{_NUMBER}') and try_cast(x as double) = floor(try_cast(x as double)) end, false))) = 0 as ok from e),
+     p as (select *, row_number() over (partition by row_id, blob_name, attr order by exact desc, loaded_at desc nulls last, cell_id desc) as nth from k where ok)
+select row_id, blob_name || '_' || attr as column_name, case when vtype = 'Float' then list_transform(xs, lambda x: cast(x as double)) end as numbers,
+       case when vtype = 'Integer' then list_transform(xs, lambda x: cast(coalesce(try_cast(x as bigint), try_cast(try_cast(x as double) as bigint)) as varchar))
+            when vtype = 'Flag' then list_transform(xs, lambda x: case when x = '1' then 'true' else 'false' end) when vtype = 'String' then xs end as texts
+from p where nth = 1"""
+
 SQL = {
+    "p4_wide_cells": _CELLS,
     "p4_found": f"""
 with c as (select a.row_id, a.blob_name, f.attr, f.vtype, f.num, trim(a.cell_value) as v
            from attr_cells a join field_types f on a.blob_name = f.blob_name

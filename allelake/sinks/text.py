@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +86,24 @@ def cohort_lines(cohort: DataFrame, samples: Sequence[str]) -> DataFrame:
     """Lines of a merged file: ``contig, pos, nth, value``, a column per sample, missing ones as ``.``."""
     alts = F.slice("alleles", 2, F.greatest(F.size("alleles") - 1, F.lit(0)))
     empty = F.array_join(F.transform("format", lambda k: F.when(k == "GT", F.lit("./.")).otherwise(F.lit("."))), ":")
-    calls = [F.coalesce(F.element_at("calls", s), empty) for s in samples]
     fixed = F.concat_ws(
         "\t", "contig", (F.col("pos") + 1).cast("string"), "id", F.element_at("alleles", 1), F.when(F.size(alts) > 0, F.array_join(alts, ",")).otherwise("."),
-        F.coalesce(F.col("qual").cast("string"), F.lit(".")), filter_text(F.col("filters")), info_text(F.col("info")), F.when(F.size("format") > 0, F.array_join("format", ":")).otherwise("."), *calls,
+        F.coalesce(F.col("qual").cast("string"), F.lit(".")), filter_text(F.col("filters")), info_text(F.col("info")), F.when(F.size("format") > 0, F.array_join("format", ":")).otherwise("."),
     )
-    return cohort.select("contig", "pos", "nth", fixed.alias("value"))
+    names = cohort.sparkSession.sparkContext.broadcast(list(samples))  # the file's column line holds them all anyway
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = names.value
+        for batch in batches:
+            *keys, fixed, empty, calls = (batch.column(i) for i in range(6))
+            text = []
+            for head, none, own in zip(fixed.to_pylist(), empty.to_pylist(), calls.to_pylist()):
+                there = {c["key"]: c["value"] for c in own}
+                text.append("\t".join([head, *(there.get(s, none) for s in order)]))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(text, pa.string())], names=["contig", "pos", "nth", "value"])
+
+    parts = cohort.select("contig", "pos", "nth", fixed.alias("fixed"), empty.alias("empty"), F.map_entries("calls").alias("calls"))
+    return parts.mapInArrow(lines, "contig string, pos int, nth int, value string")
 
 
 def write_cohort_vcf(cohort: DataFrame, samples: Sequence[str], header: str, path: str) -> None:

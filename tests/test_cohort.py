@@ -1,4 +1,4 @@
-from allelake.operators.cohort import merge_alleles, merge_records, spread, trim_shared
+from allelake.operators.cohort import genotype_place, merge_alleles, merge_records, spread, trim_shared
 
 
 def test_alleles():
@@ -23,3 +23,21 @@ def test_merged_record():
     assert out["alleles"] == ["A", "C", "G"] and out["id"] == "x;y" and out["qual"] == 9.0 and out["filters"] == ["q10"]
     assert out["info"] == {"DP": "7", "AF": "0.3,0.2", "END": "11", "AC": "2,1", "AN": "4"}
     assert out["format"] == ["GT", "AD"] and out["calls"] == {"a": "0|1:5,6,.", "b": "2/1:."}
+
+
+def test_missing_depth_and_end_beside_numbers():
+    rec = lambda s, info: {"sample": s, "pos": 4, "alleles": ["A", "C"], "id": ".", "qual": None, "filters": None, "gt": [0, 1], "info": info, "fmt": {"GT": "0/1"}}
+    for infos, want in (([{"DP": "."}, {"DP": "7"}, {"DP": "5"}], "12"), ([{"DP": "7"}, {"DP": "."}], "7"), ([{"DP": "."}, {"DP": "."}], "."), ([{"DP": "x"}, {"DP": "3"}], "3")):
+        assert merge_records([rec(str(i), x) for i, x in enumerate(infos)], {})["info"]["DP"] == want
+    assert merge_records([rec("a", {"END": "."}), rec("b", {"END": "9"})], {})["info"]["END"] == "9"
+
+
+def test_genotype_values_of_any_ploidy():
+    from itertools import combinations_with_replacement
+
+    for ploidy in (1, 2, 3, 4):
+        places = [genotype_place(g) for g in combinations_with_replacement(range(4), ploidy)]
+        assert sorted(places) == list(range(len(places)))
+    # Order of a triploid with two alleles: 000 001 011 111. Allele 1 becomes 2 of three.
+    assert spread(["a", "b", "c", "d"], "G", [0, 2], 3) == ["a", ".", ".", ".", "b", ".", ".", "c", ".", "d"]
+    assert spread(["a", "b", "c"], "G", [0, 2], 3) == ["a", ".", ".", "b", ".", "c"] and spread(["a", "b"], "G", [0, 2], 3) == ["a", ".", "b"]
