@@ -15,6 +15,8 @@ import xxhash
 
 #: A bracketed interruption: closed, not nested. An open bracket alone is punctuation.
 INTERRUPTION = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
+#: The marks that most accents are taken apart into.
+_MARKS = re.compile("[\u0300-\u034e\u0350-\u036f]+")
 _WORD = re.compile(r"[^\W_]+")
 _PLAIN = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes([32]) * 128
 
@@ -44,10 +46,8 @@ def words(text: str | None) -> list:
         text = INTERRUPTION.sub(" ", text)
     if text.isascii():
         return text.lower().encode().translate(_PLAIN).split()
-    text = unicodedata.normalize("NFKD", text.casefold().replace("ß", "ss"))
-    try:
-        text.encode("ascii")
-    except UnicodeEncodeError:
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold().replace("ß", "ss")))
+    if not text.isascii():
         text = "".join([c for c in text if c < "\x80" or not unicodedata.combining(c)])
     if text.isascii():
         return text.encode().translate(_PLAIN).split()
@@ -56,18 +56,18 @@ def words(text: str | None) -> list:
 
 def ids(text: str | None) -> np.ndarray:
     """The ids of a text's words."""
-    return np.array([_IDS[w] for w in words(text)], dtype=np.uint64)
+    own = words(text)
+    return np.fromiter(map(_IDS.__getitem__, own), np.uint64, len(own))
 
 
 def joined(texts: Iterable[str | None], gap: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of many texts in one array with ``gap`` zeros after each, and where each text starts (and the end)."""
     parts, starts, at = [], [0], 0
-    zeros = [0] * gap
+    zeros = np.zeros(gap, np.uint64)
     for t in texts:
-        own = [_IDS[w] for w in words(t)]
+        own = ids(t)
         at += len(own) + gap
-        own += zeros
-        parts.append(np.array(own, dtype=np.uint64))
+        parts += [own, zeros]
         starts.append(at)
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(starts)
 
