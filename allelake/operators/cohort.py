@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from allelake.session import ship
 from allelake.sources.vcf import Field
 
 SCHEMA = (
@@ -153,6 +154,7 @@ def merge_cohort(records: DataFrame, fields: Sequence[Field]) -> DataFrame:
     of ``format``. A group holds at most one record per sample. Repeated records
     of a sample get further ordinals; records without alleles are left out.
     """
+    ship(records.sparkSession)
     numbers = {(f.blob, f.name): f.number for f in fields}
     w = Window.partitionBy("contig", "pos", "sample").orderBy("end_pos", "alleles", "id")
     ordered = records.where(F.size("alleles") > 0).withColumn("nth", F.row_number().over(w).cast("int"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from allelake.operators.ranges import RANGE, range_cuts, with_range
-from allelake.session import written
+from allelake.session import ship, written
 
 #: Costs. A rename is cheaper than removing and adding, a change of kind cheaper still.
 RENAME, RETYPE, REMOVE, ADD = 1.0, 0.5, 2.0, 2.0
@@ -278,6 +278,7 @@ DECLS = "array<struct<blob:string,name:string,kind:string,number:string,note:str
 
 def parsed_headers(headers: DataFrame, file: str, header: str) -> DataFrame:
     """``file, sig, decls``: a header's declarations and a signature that is equal for equal schemas."""
+    ship(headers.sparkSession)
     schema = f"file {headers.schema[file].dataType.simpleString()}, decls {DECLS}"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where nothing is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where nothing is set and all runs on one machine (tests). On a cluster that setting is needed."""
     sc = spark.sparkContext
     named = spark.conf.get(SHARED, None) or sc.getConf().get(SHARED)
     if named:
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError(f"{SHARED} must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="allelake-")
     sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver's Python ends."""
+    ship(spark)  # what is written often comes from Python tasks
     path = f"{shared_dir(spark)}/allelake-{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path

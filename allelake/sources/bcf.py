@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelake.functions import alleles as A
+from allelake.session import ship
 
 SCHEMA = (
     "file string, sample string, contig string, pos int, id string, alleles array<string>, qual float, filters array<string>, info map<string,string>, fmt map<string,string>"
@@ -125,6 +126,7 @@ def top(stream, file: str) -> tuple[str, str]:
 
 def bcf_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, sample, header`` of binary files, as :func:`allelake.sources.vcf.read_headers` gives them."""
+    ship(spark)
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +193,7 @@ def read_bcf(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     kind = _parse_datatype_string(SCHEMA)
     arrow = to_arrow_schema(kind)
+    ship(spark)
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

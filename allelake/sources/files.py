@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelake.session import ship
+
 #: Suffixes of block gzip that Spark's text reader doesn't know.
 BLOCKED = (".bgz", ".bgzf")
 
@@ -38,6 +40,7 @@ def lines_of(uri: str) -> Iterator[str]:
 
 def listed(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """``path, file`` of the files below paths: the path to open, and the name that scans give them. Contents aren't read."""
+    ship(spark)
     found = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
     return found.select("path", F.col("_metadata.file_path").alias("file"))
 

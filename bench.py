@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 #: Queries timed; those on texts only where their package is there.
 HEADLINE = (
     "region_overlap", "region_overlap_binned", "region_count", "region_coalesce", "variant_stats", "allele_count", "sample_stats", "sample_qc", "af_filter_lt", "iaf_annotation", "refblock_stab",
-    "sample_partition", "delete_sample_negate", "assoc_chisq", "p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_packed", "p8_found", "p9_found",
+    "sample_partition", "delete_sample_negate", "assoc_chisq", "ingest_two_files_one_sample", "dataset_region_af", "dataset_variant_stats", "p1_partitioned", "p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_packed", "p8_found", "p9_found",
 )
 
 
