@@ -40,6 +40,7 @@ log = logging.getLogger("allelake")
 
 VERSION = "0.2.0"
 
+#: Names of attributes, tables and columns, which callers use.
 DEFAULT_ATTRS = ("sample_name", "contig", "pos_start", "alleles", "fmt_GT")
 BUILTIN = ("sample_name", "contig", "pos_start", "pos_end", "alleles", "id", "filters", "qual", "fmt", "info", "query_bed_start", "query_bed_end", "query_bed_line")
 

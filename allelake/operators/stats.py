@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from allelake.functions import alleles as A
 
-#: The counters of a run, in their order in the table.
+#: The counters of a run, in their order in the table.
 COUNTERS = (
     "dp_sum", "dp_sum2", "dp_count", "dp_min", "dp_max", "gq_sum", "gq_sum2", "gq_count", "gq_min", "gq_max",
     "n_records", "n_called", "n_not_called", "n_hom_ref", "n_het", "n_singleton", "n_snp", "n_transition", "n_transversion",

@@ -21,6 +21,7 @@ class Region(NamedTuple):
     @classmethod
     def parse(cls, text: str) -> Region:
         """``contig:start-end``; commas in numbers are dropped. Raises ValueError with the cause."""
+        # The texts of the errors, which callers compare.
         contig, colon, interval = str(text).rpartition(":")
         ends = interval.replace(",", "").split("-")
         if not colon or len(ends) != 2 or not all(e.strip().isdigit() for e in ends) or ":" in contig:
