@@ -16,7 +16,7 @@ from allelake.operators import association, frequency, select, stats
 from allelake.operators.cohort import merge_cohort
 from allelake.operators.overlap import overlap_join, overlap_join_binned, stab_sums
 from allelake.regions import coalesced_table
-from allelake.session import scratch_path, table
+from allelake.session import scratch_path, table, written
 from allelake.sinks.text import tsv_columns
 from allelake.sources.vcf import Field, parse_map
 from allelake.streaming.ingest import windowed_records
@@ -51,7 +51,11 @@ def regions(spark: SparkSession, folder: str) -> DataFrame:
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
     """``ref_blocks`` as regions."""
-    return table(spark, folder, "ref_blocks").select("contig", F.col("block_start").alias("lo"), F.col("block_end").alias("hi"), F.col("block_id").cast("int").alias("line"))
+    return table(spark, folder, "ref_blocks").select("contig", F.col("block_start").alias("lo"), F.col("block_end").alias("hi"), F.col("block_id").alias("line"))
+
+
+def _fits_int(df: DataFrame, column: str) -> bool:
+    return df.where(~F.col(column).between(-(2**31), 2**31 - 1)).isEmpty()  # row groups' bounds answer it
 
 
 V = """v as (select row_id, contig, start_pos as pos, end_pos, sample, id, alleles, qual, filter_ids as filters, gt, info, fmt, ingest_ts,
@@ -89,8 +93,14 @@ def region_overlap(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with {V}, r as (select contig, block_start as lo, block_end as hi, block_id as line from ref_blocks where block_end >= block_start)
 select cast(r.line as integer) as region_line, count(*) as n_records, min(v.pos) as first_pos, max(v.end_pos) as last_pos from v join r on {MEET} group by r.line""")
 def region_overlap_binned(spark: SparkSession, folder: str) -> DataFrame:
-    """Per reference block the records of all samples that overlap it, by bins."""
-    return overlap_join_binned(records(spark, folder), blocks(spark, folder)).groupBy("region_line").agg(F.count(F.lit(1)).alias("n_records"), F.min("pos").alias("first_pos"), F.max("end_pos").alias("last_pos"))
+    """Per reference block the records of all samples that overlap it, by bins. ``region_line`` is an int as in SQL; a bigint where a block found has an id that no int holds, where SQL fails."""
+    r = blocks(spark, folder)
+    found = overlap_join_binned(records(spark, folder), r).groupBy("region_line").agg(F.count(F.lit(1)).alias("n_records"), F.min("pos").alias("first_pos"), F.max("end_pos").alias("last_pos"))
+    if not _fits_int(r, "line"):
+        found = written(found, "overlaps")  # such ids count only where a record overlaps their block
+        if not _fits_int(found, "region_line"):
+            return found
+    return found.withColumn("region_line", F.col("region_line").cast("int"))
 
 
 @query(f"with {V}, {R} select count(*) as n_pairs, count(distinct v.row_id) as n_records from v join r on {MEET}")

@@ -4,6 +4,7 @@ import pytest
 from common import rows
 
 from allelake.operators.overlap import overlap_join, overlap_join_binned, stab_sums
+from allelake.plans.variants import region_overlap_binned
 from allelake.regions import Region, coalesce, coalesced_table, region_table
 
 
@@ -29,6 +30,23 @@ def test_empty(spark):
     assert overlap_join(v.limit(0), r).count() == 0 and overlap_join(v, r.limit(0)).count() == 0 and overlap_join_binned(v.limit(0), r.limit(0)).count() == 0
 
 
+FAR = 3_000_000_001
+
+
+@pytest.mark.parametrize("far, kind, want", [
+    (FAR, "bigint", [(7, 2, 10, 30), (FAR, 1, 20, 30)]),  # an id that no int holds stays what it is
+    (-FAR, "bigint", [(-FAR, 1, 20, 30), (7, 2, 10, 30)]),
+    (2**31 - 1, "int", [(7, 2, 10, 30), (2**31 - 1, 1, 20, 30)]),
+])
+def test_blocks_with_large_ids(spark, tmp_path, far, kind, want):
+    records = [(1, "1", 10, 12), (2, "1", 20, 30), (3, "1", 40, 39)]
+    blocks = [(7, "1", 0, 25), (far, "1", 25, 50), (FAR + 1, "2", 0, 50), (FAR + 2, "1", 9, 5), (FAR + 3, "1", 9, None)]
+    spark.createDataFrame([(*x, "s", None, ["A", "C"], None, None, [0, 1], None, None, None) for x in records], "row_id long, contig string, start_pos int, end_pos int, sample string, id string, alleles array<string>, qual float, filter_ids array<string>, gt array<int>, info string, fmt string, ingest_ts timestamp").write.parquet(f"{tmp_path}/data_array.parquet")
+    spark.createDataFrame(blocks, "block_id long, contig string, block_start int, block_end int").write.parquet(f"{tmp_path}/ref_blocks.parquet")
+    got = region_overlap_binned(spark, str(tmp_path))
+    assert dict(got.dtypes)["region_line"] == kind and sorted(map(tuple, got.collect())) == want
+
+
 def test_stabbing(spark):
     p = spark.createDataFrame([("1", 5), ("1", 5), ("1", 2500), ("2", 5)], "contig string, pos int")
     b = spark.createDataFrame([("1", 0, 3000, 2), ("1", 5, 5, 3), ("1", 6, 4, 9)], "contig string, lo int, hi int, n int")
