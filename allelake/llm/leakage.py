@@ -7,8 +7,10 @@ for three times the window's length), under which windows a few edits apart get
 embeddings of small Hamming distance. Repeated bit sampling of the embeddings
 gives the keys under which document windows meet item windows. A document and
 an item that meet often enough along one band of diagonals, as the item's
-length lets expect at the target recall, are verified exactly, by the run of
-equal words and by the longest common subsequence within a stretch.
+length lets expect at the target recall, are verified exactly, by the longest
+common subsequence within a stretch. Runs of equal words are found by their
+hashes, and walks are made only over texts that have as many of an item's words,
+in whatever order, as a leak needs.
 
 Windows don't have the item's size: with three of ten words gone, walks over a
 whole item are out of step nearly everywhere, and a quote of a few lines of a
@@ -57,17 +59,21 @@ AROUND, AROUND_LEAST = 0.5, 4 * FORMULA
 #: Columns that tell a speech's occasion, which a reissue keeps.
 OCCASION = ("source", "sitting_id", "speech_no", "held_at")
 
-#: Characters of items that are compared in one pass over the documents (about 300 bytes of tables a word, so 100 MB a pass), and of those whose
+#: Characters of items that are compared in one pass over the documents (about 500 bytes of tables a word, so 150 MB a pass), and of those whose
 #: formulas are sought in one pass (40 bytes a word). More make further passes; an item longer than that has one of its own.
 BLOCK, FORMULA_BLOCK = 2_000_000, 16_000_000
 
-#: Words of a patch, the unit in which a document's words are noted for a first look at candidates.
+#: Bits of a word by which it is told apart in the look at whole texts that comes before all walks.
+CODE = 13
+
+#: Words of a patch, the unit in which a document's words are noted for a look at candidates.
 PATCH = 32
 
 _GAP = 2 * RUN + WINDOW
 _SLICE = 1 << 15
 _WORDS = 400_000
 _PAIRS = 8_000_000
+_SIDE = 512
 
 
 def _samples() -> np.ndarray:
@@ -127,6 +133,59 @@ def without(seq: np.ndarray, formulas: W.Lookup) -> np.ndarray:
     return counted
 
 
+@dataclass
+class Bags:
+    """Which words each item has, and which of them more than once, for a first look at whole texts. Words are told apart by ``CODE`` bits, so no text is missed."""
+
+    once: np.ndarray  # by a word's code: its column, -1 if no item has it
+    twice: np.ndarray  # by that column: another for texts that have the word again, -1 if no item does
+    need: np.ndarray  # words that a text must have, by item
+    width: int  # columns
+    parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # of some items each: the first, their columns; then by entry its place among those, the item, how many words
+
+    @classmethod
+    def of(cls, words: np.ndarray, size: np.ndarray, need: np.ndarray) -> Bags:
+        """``words`` of all items, one item's after another's."""
+        both, count = _distinct(np.repeat(np.arange(len(size)), size) << CODE | (words >> np.uint64(64 - CODE)).view(np.int64))
+        item, code = both >> CODE, both & ((1 << CODE) - 1)
+        known, again = np.unique(code), count > 1
+        once, twice = np.full(1 << CODE, -1), np.full(len(known), -1)
+        once[known] = np.arange(len(known))
+        column = once[code]
+        more = np.unique(column[again])
+        twice[more] = len(known) + np.arange(len(more))
+        # An entry for the first of a word, and one for all others.
+        item, column = np.concatenate([item, item[again]]), np.concatenate([column, twice[column[again]]])
+        count = np.concatenate([np.ones(len(again), np.int64), count[again] - 1])
+        parts = []
+        for lo in range(0, len(size), _SIDE):
+            own = np.flatnonzero((item >= lo) & (item < lo + _SIDE))
+            used, place = np.unique(column[own], return_inverse=True)
+            parts.append((lo, used, place, item[own] - lo, count[own]))
+        return cls(once, twice, need, len(known) + len(more), parts)
+
+    def enough(self, seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(text, item): whether the text has as many of the item's words as a leak needs, in whatever order."""
+        out = np.zeros((len(starts) - 1, len(self.need)), bool)
+        for a in range(0, len(out), _SIDE):  # bounded memory
+            part = starts[a : a + _SIDE + 1]
+            own = seq[part[0] : part[-1]]
+            column = self.once.take((own >> np.uint64(64 - CODE)).view(np.int64))
+            at = np.flatnonzero((column >= 0) & (own != 0))
+            has, count = _distinct(np.repeat(np.arange(len(part) - 1), np.diff(part))[at] * self.width + column[at])
+            texts = np.zeros((len(part) - 1, self.width), np.float32)
+            texts.ravel()[has] = 1
+            text, column = np.divmod(has[count > 1], max(self.width, 1))
+            column = self.twice[column]
+            texts[text[column >= 0], column[column >= 0]] = 1
+            for lo, used, place, item, words in self.parts:
+                need = self.need[lo : lo + _SIDE]
+                items = np.zeros((len(used), len(need)), np.float32)
+                items[place, item] = words
+                out[a : a + _SIDE, lo : lo + _SIDE] = (texts if len(used) == self.width else texts[:, used]) @ items >= need
+        return out
+
+
 @dataclass
 class Items:
     """Items ready to be met: their counted words in one array, and the windows by key."""
@@ -135,6 +194,10 @@ class Items:
     seq: np.ndarray
     first: np.ndarray  # where each item starts in seq
     size: np.ndarray  # counted words of each
+    need: np.ndarray  # words in order that make a leak
+    item: np.ndarray  # by place in seq: the item
+    bags: Bags
+    runs: tuple[W.Lookup, np.ndarray, np.ndarray]  # of RUN words: hashes, where each one's places begin, places
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by key number: the keys in order, where each one's windows begin, window starts, bitmap
 
     @classmethod
@@ -148,24 +211,27 @@ class Items:
             size.append(len(own))
             at += len(own) + _GAP
         seq = np.concatenate(parts)
-        n = max(0, len(seq) - WINDOW)
-        whole = np.ones(n, bool)
-        for i in range(WINDOW):
-            whole &= seq[i : i + n] != 0
-        starts = np.flatnonzero(whole)
+        first, size = np.array(first, np.int64), np.array(size, np.int64)
+        item = np.searchsorted(first, np.arange(len(seq)), "right") - 1
+        need = np.maximum(LEAST, np.ceil(SHARE * size - 1e-9).astype(np.int64))
+        starts = _whole(seq, RUN)
+        hashes = W.grams(seq, RUN)[starts]
+        runs = W.Lookup(hashes), np.concatenate([[0], np.cumsum(_distinct(hashes)[1])]), starts[np.argsort(hashes, kind="stable")]
+        starts = _whole(seq, WINDOW)
         tables = []
-        for _, keys in embedding_keys(seq, 0, n):
+        for _, keys in embedding_keys(seq, 0, max(0, len(seq) - WINDOW)):
             own = keys[starts]
             order = np.argsort(own, kind="stable")
             known, count = _distinct(own)
             bitmap = np.zeros(1 << 20, bool)
             bitmap[(known >> np.uint64(44)).astype(np.int64)] = True
             tables.append((known, np.concatenate([[0], np.cumsum(count)]), starts[order].astype(np.int32), bitmap))
-        return cls([p[0] for p in pairs], seq, np.array(first, np.int64), np.array(size, np.int64), tables)
+        return cls([p[0] for p in pairs], seq, first, size, need, item, Bags.of(seq[seq != 0], size, need), runs, tables)
 
-    def meetings(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of window starts, in ``seq`` and in the items, that share keys, and how many they share."""
+    def meetings(self, seq: np.ndarray, text: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of window starts, in ``seq`` and in the items, that share keys, and how many they share. Only of pairs of text and item that are open; ``text`` is by place in ``seq``."""
         n = len(seq) - WINDOW
+        row, open_ = text * len(self.ids), open_.ravel()
         both = []
         for lo in range(0, max(n, 0), _SLICE):
             hi = min(lo + _SLICE, n)
@@ -178,10 +244,11 @@ class Items:
                 own = keys[near]
                 place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 met = known[place] == own
-                near, left = near[met], begin[place[met]]
-                count = begin[place[met] + 1] - left
-                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                both.append(np.repeat(near + lo, count).astype(np.int64) * np.int64(len(self.seq)) + starts[np.repeat(left, count) + offset])
+                place = place[met]
+                which, at = _each(begin[place], begin[place + 1])
+                p, q = (near[met] + lo)[which], starts[at]
+                kept = open_.take(row.take(p) + self.item.take(q))
+                both.append(p[kept] * np.int64(len(self.seq)) + q[kept])
         if not both:
             return (np.empty(0, np.int64),) * 3
         both, keys = _distinct(np.concatenate(both))
@@ -190,43 +257,49 @@ class Items:
 
     def verified(self, seq: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
         """(text number, item number) of all leaks in ``seq``, whose texts begin at ``starts`` with gaps between."""
-        p, q, keys = self.meetings(seq)
-        if not len(p):
-            return set()
-        text = np.searchsorted(starts, p, "right") - 1
-        item = np.searchsorted(self.first, q, "right") - 1
+        found: set[tuple[int, int]] = set()
+        some = max(1, _PAIRS // max(1, len(self.ids)))
+        for a in range(0, len(starts) - 1, some):  # bounded memory
+            part = starts[a : a + some + 1]
+            found.update((a + t, k) for t, k in self._verified(seq[part[0] : part[-1]], part - part[0]))
+        return found
+
+    def _verified(self, seq: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
+        text, item = self._runs(seq, starts)
+        found = set(zip(text.tolist(), item.tolist()))
+        # The rest: only texts that have enough words of an item are looked at further.
+        open_ = self.bags.enough(seq, starts)
+        open_[text, item] = False
+        among = np.flatnonzero(open_.any(axis=1))
+        if not len(among):
+            return found
+        sizes = np.diff(starts)
+        seq = seq[np.repeat(open_.any(axis=1), sizes)]
+        starts = np.concatenate([[0], np.cumsum(sizes[among])])
+        number = np.repeat(np.arange(len(among)), sizes[among])
+        p, q, keys = self.meetings(seq, number, open_[among])
+        text, item = number[p], self.item[q]
         many = np.int64(len(self.ids))
-        runs = self._runs(seq, p, q, keys)
-        pairs = np.unique(text[runs] * many + item[runs])
-        found = {(int(x // many), int(x % many)) for x in pairs}
-        # The rest: bands of diagonals, twice over so that no border cuts all of one.
-        n = self.size[item]
-        open_ = n >= LEAST
-        if (len(starts) - 1) * many <= _PAIRS:  # a first look at whole texts, which spares most of the sorting below
-            code = text * many + item
-            left = np.bincount(code, keys, (len(starts) - 1) * int(many))
-            left[pairs] = 0
-            open_ &= left[code] >= np.maximum(1, MET * n - ALLOWED)
-        else:
-            open_ &= ~np.isin(text * many + item, pairs)
-        text, item, keys, n = text[open_], item[open_], keys[open_], n[open_]
-        window = q[open_]
-        diagonal = p[open_] - (window - self.first[item])
+        code, n = text * many + item, self.size[item]
+        open_ = np.bincount(code, keys, len(among) * int(many))[code] >= np.maximum(1, MET * n - ALLOWED)  # spares most of the sorting below
+        text, item, keys, n, window = text[open_], item[open_], keys[open_], n[open_], q[open_]
         if not len(text):
             return found
-        least, bands = diagonal.min(), (int(np.ptp(diagonal)) + 2 * int(n.max())) // LEAST + 2
+        # Bands of diagonals, twice over so that no border cuts all of one. They begin with the text, so what else is looked at makes no difference.
+        diagonal = p[open_] - starts[text] - (window - self.first[item])
+        least, bands = diagonal.min(), (int(diagonal.max()) + 2 * int(n.max())) // LEAST + 2
         places = []
         wide = int(np.ptp(diagonal)) + 1
         for shift in (0, 1):
-            code = (text * many + item) * bands + (diagonal - least + shift * (n // 2)) // n
+            code = (text * many + item) * bands + (diagonal + n + shift * (n // 2)) // n
             order = np.argsort(code)
             code = code[order]
             at = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
             one = order[at]
             kept = np.add.reduceat(keys[order], at) >= np.maximum(1, MET * n[one] - ALLOWED)
             band = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1), np.diff(at, append=len(order)))
-            among = np.flatnonzero(band >= 0)
-            apart = np.bincount(_distinct(band[among] * np.int64(len(self.seq)) + window[order[among]])[0] // len(self.seq), minlength=int(kept.sum()))
+            inside = np.flatnonzero(band >= 0)
+            apart = np.bincount(_distinct(band[inside] * np.int64(len(self.seq)) + window[order[inside]])[0] // len(self.seq), minlength=int(kept.sum()))
             enough = apart >= np.maximum(1, APART * n[one[kept]] - ALLOWED)
             kept = np.flatnonzero(kept)[enough]
             near, far = np.minimum.reduceat(diagonal[order], at)[kept], np.maximum.reduceat(diagonal[order], at)[kept]
@@ -237,68 +310,53 @@ class Items:
         t, k = np.divmod(code, many)
         if not len(t):
             return found
-        near = near + least
+        near = near + least + starts[t]
         far = far + near
         n = self.size[k]
-        need = np.maximum(LEAST, np.ceil(SHARE * n - 1e-9).astype(np.int64))
         slack = n // 4 + WINDOW  # what lies before the first and behind the last meeting may drift so far
         lo, hi = np.maximum(near - slack, starts[t]), np.minimum(far + n + slack, starts[t + 1])
-        for c in self._may(seq, starts, t, lo, hi, k, need).tolist():
-            pair = int(t[c]), int(k[c])
-            if pair not in found and self._within(seq, int(k[c]), int(lo[c]), int(hi[c]), int(need[c])):
+        for c in self._may(seq, lo, hi, k).tolist():
+            pair = int(among[t[c]]), int(k[c])
+            if pair not in found and self._within(seq, int(k[c]), int(lo[c]), int(hi[c])):
                 found.add(pair)
         return found
 
-    def _runs(self, seq: np.ndarray, p: np.ndarray, q: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Meetings that begin ``RUN`` equal words: so many windows in a row that share all keys, and their words."""
-        at = np.flatnonzero(keys == WALKS * KEYS)
-        for i in range(WINDOW):
-            at = at[seq[p[at] + i] == self.seq[q[at] + i]]
-        at = at[np.lexsort((p[at], p[at] - q[at]))]
-        further = RUN - WINDOW
-        if len(at) <= further:
-            return at[:0]
-        a, b = at[:-further], at[further:]
-        return a[(p[b] - q[b] == p[a] - q[a]) & (p[b] - p[a] == further)]
-
-    def _may(self, seq: np.ndarray, starts: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """Candidates of whose item enough words are in the text, and then in the stretch or close to it, in whatever order. Words are told apart by 12 bits, so none is missed."""
-        codes = (seq >> np.uint64(52)).view(np.int64)
-        kept = np.arange(len(k))
-        for unit, first, last in ((np.searchsorted(starts, np.arange(len(seq)), "right") - 1, t, t), (np.arange(len(seq)) // PATCH, lo // PATCH, np.maximum(hi - 1, lo) // PATCH)):
-            if not len(kept):
-                break
-            first, last = first[kept], last[kept]
-            # Rows for the units that candidates have, and which words are in them.
-            marks = np.zeros(int(unit[-1]) + 2, np.int64)
-            np.add.at(marks, first, 1)
-            np.add.at(marks, last + 1, -1)
-            used = np.cumsum(marks) > 0
-            row = np.cumsum(used) - 1
-            there = np.zeros((int(row[-1]) + 1, 4_096), bool)
-            own = used[unit] & (seq != 0)
-            there[row[unit[own]], codes[own]] = True
-            kept = kept[self._enough(there, row[first], row[last], k[kept], need[kept])]
-        return kept
-
-    def _enough(self, there: np.ndarray, first: np.ndarray, last: np.ndarray, k: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """Which candidates find ``need`` of the words of item ``k`` in rows ``first`` to ``last`` of ``there``."""
-        codes, kept = (self.seq >> np.uint64(52)).view(np.int64), [np.empty(0, np.int64)]
+    def _runs(self, seq: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and item numbers of pairs that share ``RUN`` equal words."""
+        lookup, begin, places = self.runs
+        hit, which = lookup.find(W.grams(seq, RUN))
+        one, at = _each(begin[which], begin[which + 1])
+        p, q = hit[one], places[at]
+        for i in range(RUN):
+            same = seq[p + i] == self.seq[q + i]
+            p, q = p[same], q[same]
+        return np.divmod(np.unique((np.searchsorted(starts, p, "right") - 1) * np.int64(len(self.ids)) + self.item[q]), max(1, len(self.ids)))
+
+    def _may(self, seq: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Candidates of whose item enough words are in the stretch or close to it, in whatever order. Words are told apart by ``CODE`` bits, so none is missed."""
+        shift, last = np.uint64(64 - CODE), np.maximum(hi - 1, lo) // PATCH
+        patch = np.flatnonzero(seq) // PATCH
+        there = np.zeros((len(seq) // PATCH // 64 + 2) << CODE, np.uint64)  # by 64 patches and word: a bit for each patch that has it
+        np.bitwise_or.at(there, patch // 64 << CODE | (seq[seq != 0] >> shift).view(np.int64), np.uint64(1) << (patch % 64).astype(np.uint64))
+        codes, kept = (self.seq >> shift).view(np.int64), [np.empty(0, np.int64)]
         for a in range(0, len(k), 4_000):  # bounded memory
             own = slice(a, a + 4_000)
             size = self.size[k[own]]
-            begin = np.cumsum(size) - size
-            word = codes[np.arange(size.sum()) + np.repeat(self.first[k[own]] - begin, size)]
-            row, end = np.repeat(first[own], size), np.repeat(last[own], size)
-            seen = there[row, word]
-            for i in range(1, int((end - row).max()) + 1):
-                seen |= there[np.minimum(row + i, end), word]
-            kept.append(a + np.flatnonzero(np.add.reduceat(seen, begin, dtype=np.int64) >= need[own]))
+            word = codes[_each(self.first[k[own]], self.first[k[own]] + size)[1]]
+            seen = np.zeros(len(word), bool)
+            first, left = lo[own] // PATCH, last[own] - lo[own] // PATCH + 1
+            while (left > 0).any():  # 64 patches, of two rows
+                mask = ~np.uint64(0) >> (64 - np.clip(left, 0, 64)).astype(np.uint64)
+                place, bit = np.repeat(first // 64 << CODE, size) + word, np.repeat((first % 64).astype(np.uint64), size)
+                both = there.take(place) >> bit | there.take(place + (1 << CODE)) << (np.uint64(64) - bit)
+                seen |= both & np.repeat(mask, size) != 0
+                first, left = np.minimum(first + 64, last[own]), left - 64
+            kept.append(a + np.flatnonzero(np.add.reduceat(seen, np.cumsum(size) - size, dtype=np.int64) >= self.need[k[own]]))
         return np.concatenate(kept)
 
-    def _within(self, seq: np.ndarray, k: int, lo: int, hi: int, need: int) -> bool:
-        """Whether ``need`` words of the item are in order within one stretch of ``seq[lo:hi]``."""
-        own = self.seq[self.first[k] : self.first[k] + self.size[k]]
+    def _within(self, seq: np.ndarray, k: int, lo: int, hi: int) -> bool:
+        """Whether enough words of the item are in order within one stretch of ``seq[lo:hi]``."""
+        own, need = self.seq[self.first[k] : self.first[k] + self.size[k]], int(self.need[k])
         if common(own, seq[lo:hi]) < need:
             return False
         part, span = seq[lo:hi], int(STRETCH * self.size[k])
@@ -315,6 +373,21 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(at, append=len(x))
 
 
+def _each(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges ``begin`` to ``end``: the number of the range, and the place."""
+    count = end - begin
+    which = np.repeat(np.arange(len(begin)), count)
+    return which, np.arange(len(which)) + (begin - (np.cumsum(count) - count))[which]
+
+
+def _whole(seq: np.ndarray, n: int) -> np.ndarray:
+    """Starts of ``n`` words without a gap."""
+    whole = np.ones(max(0, len(seq) - n), bool)
+    for i in range(n):
+        whole &= seq[i : i + len(whole)] != 0
+    return np.flatnonzero(whole)
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of two id arrays (bit-parallel)."""
     place: dict[int, int] = {}

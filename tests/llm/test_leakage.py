@@ -189,3 +189,75 @@ def test_the_first_text_may_lack_the_beginning():
     for texts in (docs, docs[::-1], docs[:1]):
         seq, starts = W.joined(texts, L._GAP)
         assert ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts) == {(texts.index(docs[0]), 1)}
+
+
+def searched(items, docs):
+    ready = L.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], W.Lookup(np.empty(0, np.uint64)))
+    seq, starts = W.joined(docs, L._GAP)
+    return ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts)
+
+
+def test_only_texts_with_enough_of_an_items_words_are_walked(monkeypatch):
+    rng = np.random.default_rng(13)
+    items = [text(rng, 60) for _ in range(5)]
+    edited = [w for i, w in enumerate(items[3]) if i % 4]
+    docs = [" ".join([f"other{i}" for i in rng.integers(0, 400, 300)] + items[i % 5][:20] * 2) for i in range(40)]  # runs, and words that repeat, but no other leak
+    docs += [" ".join(items[2][:10] + [f"other{i}" for i in range(200)]) for _ in range(40)]
+    docs[50] = " ".join(text(rng, 40) + edited + text(rng, 40))
+    walked, keys = [], L.embedding_keys
+
+    def counted(seq, lo, hi):
+        walked.append(hi - lo)
+        return keys(seq, lo, hi)
+
+    monkeypatch.setattr(L, "embedding_keys", counted)
+    ready = L.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], W.Lookup(np.empty(0, np.uint64)))
+    walked.clear()
+    seq, starts = W.joined(docs, L._GAP)
+    found = ready.verified(np.concatenate([seq, np.zeros(L.WINDOW + 1, np.uint64)]), starts)
+    assert found == {(i, i % 5) for i in range(40)} | {(50, 3)}
+    assert sum(walked) <= len(docs[50].split()) + L._GAP
+
+
+@given(st.lists(st.lists(st.integers(1, 6), max_size=30), min_size=1, max_size=5), st.lists(st.lists(st.integers(1, 9), max_size=60), min_size=1, max_size=5), st.integers(1, 3))
+@settings(max_examples=200, deadline=None)
+def test_the_look_at_whole_texts_misses_nothing(items, texts, side):
+    mixed = lambda x: W.mixed(np.array(x, np.uint64))
+    size = np.array([len(w) for w in items])
+    need = np.maximum(L.LEAST, np.ceil(L.SHARE * size - 1e-9).astype(np.int64))
+    seq = np.concatenate([x for t in texts for x in (mixed(t), np.zeros(3, np.uint64))])
+    before, L._SIDE = L._SIDE, side
+    try:
+        enough = L.Bags.of(mixed([x for w in items for x in w]), size, need).enough(seq, np.cumsum([0, *[len(t) + 3 for t in texts]]))
+    finally:
+        L._SIDE = before
+    for t, own in enumerate(texts):
+        for k, w in enumerate(items):
+            least = sum(min(w.count(x), own.count(x)) for x in set(w))
+            most = sum(w.count(x) if own.count(x) > 1 else min(own.count(x), 1) for x in set(w))
+            assert enough[t, k] == (most >= need[k]) and (enough[t, k] or least < need[k])
+
+
+def test_other_texts_make_no_difference(monkeypatch):
+    rng = np.random.default_rng(14)
+    items = [text(rng, int(n)) for n in rng.integers(8, 90, 40)]
+    docs = []
+    for w in items:
+        out = set(rng.permutation(len(w))[: 3 * len(w) // 10].tolist())
+        docs.append(" ".join(text(rng, int(rng.integers(0, 90))) + [x for i, x in enumerate(w) if i not in out] + text(rng, 40)))
+    together = searched(items, docs)
+    assert together == {(i, k) for i, d in enumerate(docs) for _, k in searched(items, [d])}
+    assert {(i, k) for i, k in searched(items, docs[::-1])} == {(len(docs) - 1 - i, k) for i, k in together}
+    monkeypatch.setattr(L, "_PAIRS", 130)  # three texts at a time
+    assert searched(items, docs) == together
+
+
+def test_long_items():
+    """Stretches of several thousand words, so of several rows of patches."""
+    rng = np.random.default_rng(15)
+    words = [f"w{i}" for i in range(20_000)]
+    some = lambda n: [words[i] for i in rng.integers(0, len(words), n)]
+    items = [some(5_000), some(900), some(60)]
+    kept = [[x for i, x in enumerate(w) if i % 10 not in (2, 5, 8)] for w in items]
+    docs = [" ".join(some(3_000) + kept[0] + some(2_000)), " ".join(some(100) + kept[1]), " ".join(some(7_000) + kept[2] + some(10)), " ".join(some(9_000)), " ".join(kept[0][:2_000])]
+    assert searched(items, docs) == {(0, 0), (1, 1), (2, 2)}
